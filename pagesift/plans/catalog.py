@@ -45,3 +45,120 @@ def page_failures(spark, sf_dir):
     """The failure rows."""
     _, failures = split_results(_extracted(spark, sf_dir))
     return failures.select("url", "error_message", "error_type")
+
+
+# -- links, URLs, duplicates ------------------------------------------------------
+def _links(spark, sf_dir):
+    """Every ``a[href]`` of every page (document scope) with its raw href."""
+    from ..operators.links import page_links
+    links = page_links(read_pages(spark, sf_dir), scope="document")
+    return links.withColumn("href", F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*(.*)$", 1))
+
+
+@query
+def page_links(spark, sf_dir):
+    """Links as rows (text, resolved URL, context)."""
+    return _links(spark, sf_dir).select("page_id", "position", "text", "url", "context")
+
+
+@query
+def link_context(spark, sf_dir):
+    """Contexts per page: how many links, how many distinct contexts."""
+    return _links(spark, sf_dir).groupBy("page_id").agg(
+        F.count(F.lit(1)).alias("n_links"),
+        F.count_distinct("context").alias("n_contexts"),
+        F.max(F.length("context")).cast("bigint").alias("max_context_len"))
+
+
+@query
+def candidate_urls(spark, sf_dir):
+    """L12 with the driver's domain: which link URLs look like announcements."""
+    from ..operators.links import screen_links
+    return screen_links(_links(spark, sf_dir), domain="example") \
+        .select("page_id", "position", "url", "accepted")
+
+
+# Relative forms derived from each link's href (L11); the base is the page URL.
+RELATIVE_FORMS = {
+    "root": "{h}",
+    "relative": "substr({h}, 2)",
+    "parent": "concat('../', substr({h}, 2))",
+    "dot": "concat('./', substr({h}, 2), '?x=1')",
+    "netloc": "concat('//cdn.example.org', {h})",
+    "fragment": "concat('#', substr({h}, 2))",
+    "query": "concat('?q=', substr({h}, 2))",
+}
+
+
+@query
+def resolve_urls(spark, sf_dir):
+    """L11 on seven relative forms of every link against its page URL."""
+    from ..functions.urls import resolve_url
+    links = _links(spark, sf_dir).select("page_id", "position", "page_url", "href")
+    forms = F.array(*[F.struct(F.lit(k).alias("form"), F.expr(v.format(h="href")).alias("rel"))
+                      for k, v in RELATIVE_FORMS.items()])
+    return links.select("page_id", "position", "page_url", F.inline(forms)) \
+        .select("page_id", "position", "form", "rel",
+                resolve_url(F.col("rel"), F.col("page_url")).alias("resolved"))
+
+
+def _link_rows(spark, sf_dir):
+    return _links(spark, sf_dir).select("page_id", "position", F.col("href").alias("url"),
+                                        F.col("text").alias("title"), "page_url")
+
+
+@query
+def dedup_skip(spark, sf_dir):
+    """First link per target URL in (page_id, position) order."""
+    from ..operators.dedup import handle_duplicates
+    return handle_duplicates(_link_rows(spark, sf_dir).drop("page_url"), "skip")
+
+
+@query
+def dedup_overwrite(spark, sf_dir):
+    """Every row kept."""
+    from ..operators.dedup import handle_duplicates
+    return handle_duplicates(_link_rows(spark, sf_dir).drop("page_url"), "overwrite")
+
+
+@query
+def dedup_version(spark, sf_dir):
+    """D3: n-th copy of a URL titled ``title (vN)``."""
+    from ..operators.dedup import handle_duplicates
+    return handle_duplicates(_link_rows(spark, sf_dir).drop("page_url"), "version")
+
+
+@query
+def dedup_cross_batch(spark, sf_dir):
+    """D1 + T3: pages stored in three batches by host (.com, .net, then the
+    rest); each batch skips URLs stored by earlier ones."""
+    from ..functions.urls import url_host
+    from ..operators.dedup import dedup_batches
+    rows = _link_rows(spark, sf_dir)
+    host = url_host(F.col("page_url"))
+    rows = rows.withColumn("batch", F.when(host.endswith(".com"), 1).when(host.endswith(".net"), 2)
+                           .otherwise(3)).drop("page_url")
+    return dedup_batches(rows, "batch")
+
+
+# -- month filter -----------------------------------------------------------------
+MONTH = "2001-03"
+
+
+@query
+def month_filter(spark, sf_dir):
+    """Orders of one month; both bounds reach the parquet scan."""
+    from ..operators.filters import month_filter as mf
+    from ..sources.tables import read_table
+    orders = read_table(spark, sf_dir, "orders", "o_orderkey", "o_orderdate", "o_totalprice")
+    return mf(orders, "o_orderdate", MONTH)
+
+
+@query
+def month_filter_events(spark, sf_dir):
+    """P3 on events with an invalid filter under ``on_invalid='pass'`` (P4):
+    the rows come back unfiltered, as the link filter of the reference does."""
+    from ..operators.filters import month_filter as mf
+    from ..sources.tables import read_table
+    events = read_table(spark, sf_dir, "events", "event_id", "ts", "event_type")
+    return mf(events, "ts", "2024-1", on_invalid="pass")
