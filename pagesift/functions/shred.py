@@ -31,7 +31,7 @@ from __future__ import annotations
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -237,9 +237,35 @@ def _shred_batch(htmls: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), nodes, mask=mask)
 
 
-_shred_udf = F.arrow_udf(_shred_batch, DOM_TYPE)
+_shred_udf = None
 
 
 def shred_html(html: Column) -> Column:
-    """``html STRING`` -> ``dom``; an Arrow-batched UDF (no per-row serde)."""
+    """``html STRING`` -> ``dom`` as a column expression (Arrow-batched UDF).
+
+    For whole tables prefer ``shred_pages``: a filter written on a derived
+    column would be pushed below a projection holding this call and make the
+    optimizer evaluate it twice."""
+    global _shred_udf
+    if _shred_udf is None:
+        _shred_udf = F.arrow_udf(_shred_batch, DOM_TYPE)
     return _shred_udf(html)
+
+
+def shred_pages(df: DataFrame, html: str = "html") -> DataFrame:
+    """Replace the ``html`` column of ``df`` by ``dom``, batch by batch.
+
+    A ``mapInArrow`` node: one parse per page, deterministic (so exchanges
+    above it can be reused by Spark), and an optimization fence - filters on
+    derived columns are not pushed below it, so a page is never parsed twice.
+    Put filters on page columns before it (they then reach the scan)."""
+    keep = [f for f in df.schema.fields if f.name != html]
+    out_schema = T.StructType(keep + [T.StructField("dom", DOM_TYPE)])
+    names = [f.name for f in keep]
+
+    def run(batches):
+        for b in batches:
+            cols = [b.column(n) for n in names]
+            dom = _shred_batch(b.column(html))
+            yield pa.RecordBatch.from_arrays(cols + [dom], names=names + ["dom"])
+    return df.mapInArrow(run, out_schema)

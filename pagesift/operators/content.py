@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dom as D
 from ..functions.dates import NTZ, dates_in_text, parse_date_string
-from ..functions.shred import shred_html
+from ..functions.shred import shred_pages
 from ..functions.text import PY_WS, cut_with_ellipsis, let, py_strip
 from ..functions.urls import resolve_url
 
@@ -211,14 +211,19 @@ def text_date(dom: Column, month_names: bool = False) -> Column:
 # -- page driver (E1, E16) --------------------------------------------------------
 def extract_content(pages: DataFrame, run_ts: datetime = DEFAULT_RUN_TS,
                     given_date: str | None = None, link_scope: str = "area",
-                    use_selectors: bool = True, month_names: bool = False) -> DataFrame:
+                    use_selectors: bool = True, month_names: bool = False,
+                    where: Column | None = None) -> DataFrame:
     """``pages(page_id, url, html[, given_date])`` -> one row per page with the
     content fields, ``error_message`` and ``error_type``.  ``content`` and
-    ``failures`` are the two halves (see ``split_results``)."""
+    ``failures`` are the two halves (see ``split_results``).  ``where`` is a
+    predicate on the page columns applied before parsing (it reaches the
+    parquet scan)."""
     run = F.lit(run_ts).cast(NTZ)
+    if where is not None:
+        pages = pages.filter(where)
     keep = [c for c in pages.columns if c != "html"]
     given = F.col(given_date) if given_date else F.lit(None).cast(NTZ)
-    shredded = pages.select(*keep, given.alias("_given"), shred_html(F.col("html")).alias("dom"))
+    shredded = shred_pages(pages.select(*keep, given.alias("_given"), "html"))
     dom = F.col("dom")
     stage1 = shredded.select(
         *keep, "_given", "dom",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dom as D
-from ..functions.shred import shred_html
+from ..functions.shred import shred_pages
 from ..functions.urls import DEFAULT_DOMAIN, is_announcement_url
 from .content import content_area, embedded_links
 
@@ -17,8 +17,7 @@ def page_links(pages: DataFrame, scope: str = "document") -> DataFrame:
 
     ``scope='document'`` takes every ``a[href]`` of the page (quirk Q11);
     ``scope='area'`` only those of the content area, as E13 does."""
-    shredded = pages.select("page_id", F.col("url").alias("page_url"),
-                            shred_html(F.col("html")).alias("dom"))
+    shredded = shred_pages(pages.select("page_id", F.col("url").alias("page_url"), "html"))
     dom = F.col("dom")
     where = D.document(dom) if scope == "document" else content_area(dom)
     links = shredded.select("page_id", "page_url",

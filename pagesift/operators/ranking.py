@@ -42,9 +42,14 @@ def unit_offsets(df: DataFrame, key: list[str], unit: str, width: int = DEFAULT_
 def positions(df: DataFrame, key: list[str], unit: str, within: list[str],
               name: str = "rn", width: int = DEFAULT_WIDTH) -> DataFrame:
     """Adds ``name`` = 1-based position of each row among the rows of its key,
-    ordered by ``(unit, *within)``; equals ``row_number()`` over that order."""
+    ordered by ``(unit, *within)``; equals ``row_number()`` over that order.
+
+    The input is hash-partitioned once on ``(key, unit)``: the unit counts and
+    the ranks inside a unit both read that one exchange (Spark reuses it), so
+    an expensive input (page extraction) is computed once."""
+    df = df.repartition(*key, unit)
     offs = unit_offsets(df, key, unit, width)
-    w = Window.partitionBy(*key, unit).orderBy(*within)
+    w = Window.partitionBy(*key, unit).orderBy(*(within or [unit]))
     local = df.withColumn("_local", F.row_number().over(w))
     return (local.join(offs.select(*key, unit, "offset"), [*key, unit])
             .withColumn(name, (F.col("offset") + F.col("_local")).cast("bigint"))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.content import extract_content, split_results
+from ..session import materialize
 from ..sources.tables import read_pages
 
 QUERIES = {}
@@ -162,3 +163,140 @@ def month_filter_events(spark, sf_dir):
     from ..sources.tables import read_table
     events = read_table(spark, sf_dir, "events", "event_id", "ts", "event_type")
     return mf(events, "ts", "2024-1", on_invalid="pass")
+
+
+# -- runs, summaries ----------------------------------------------------------------
+def _items(spark, sf_dir):
+    """Processed pages as run items: run = registrable domain of the page
+    host, ordinal = page_id, ok = extracted without error."""
+    from ..functions.urls import url_host
+    ex = _extracted(spark, sf_dir)
+    return ex.select(
+        F.regexp_extract(url_host(F.col("url")), r"([^.]+\.[^.]+)$", 1).alias("run_id"),
+        F.col("page_id").alias("ordinal"), "url", F.col("error_message").isNull().alias("ok"),
+        "error_message", "error_type")
+
+
+@query
+def run_summary(spark, sf_dir):
+    """A1, A2, A5: totals, success rate and status per run."""
+    from ..operators.summary import run_summary as rs
+    return rs(_items(spark, sf_dir)).drop("execution_time")
+
+
+@query
+def run_status(spark, sf_dir):
+    """A5 for every page as its own run of one item (ok / failed)."""
+    from ..operators.summary import run_summary as rs
+    items = _items(spark, sf_dir).withColumn("run_id", F.col("url"))
+    return rs(items).select("run_id", "status")
+
+
+@query
+def progress_points(spark, sf_dir):
+    """A3: checkpoints at every 10th item and the last of each run."""
+    from ..operators.summary import progress_points as pp
+    return pp(materialize(_items(spark, sf_dir).select("run_id", "ordinal", "ok")))
+
+
+@query
+def first_failures(spark, sf_dir):
+    """A4: first five failures per run and the count of the rest."""
+    from ..operators.summary import first_failures as ff
+    fails = materialize(_items(spark, sf_dir).filter(~F.col("ok")))
+    return ff(fails).select("run_id", "rank", "url", "error_type", "error_message", "more")
+
+
+# -- rendering and search -------------------------------------------------------------
+def _content(spark, sf_dir):
+    content, _ = split_results(_extracted(spark, sf_dir))
+    return content
+
+
+@query
+def csv_rows(spark, sf_dir):
+    """CSV rows with the run's total joined on (a one-row side)."""
+    from ..operators.render import csv_columns
+    total = read_pages(spark, sf_dir, spread_rows=False).select("page_id") \
+        .agg(F.count(F.lit(1)).alias("total_processed")).withColumn("execution_time", F.lit(0.0))
+    content, _ = split_results(_extracted(spark, sf_dir))
+    return content.crossJoin(F.broadcast(total)).select("page_id", *csv_columns(True))
+
+
+@query
+def html_cards(spark, sf_dir):
+    """One escaped HTML card per announcement."""
+    from ..operators.render import html_card
+    return _content(spark, sf_dir).select("page_id", html_card().alias("card"))
+
+
+@query
+def txt_blocks(spark, sf_dir):
+    """C4, K4: numbered text blocks (numbers from a skew-safe prefix sum)."""
+    from ..operators.ranking import positions
+    from ..operators.render import txt_block
+    content = materialize(_content(spark, sf_dir)).withColumn("_run", F.lit("all"))
+    numbered = positions(content, ["_run"], "page_id", [], name="number")
+    return numbered.select("page_id", "number", txt_block(F.col("number")).alias("block"))
+
+
+SEARCH = " THE "
+
+
+@query
+def search(spark, sf_dir):
+    """P5: announcements whose lowercased title + ' ' + text holds the query."""
+    from ..operators.filters import search as srch
+    return srch(_content(spark, sf_dir), SEARCH).select("page_id", "title")
+
+
+@query
+def detect_language(spark, sf_dir):
+    """X1 on documents."""
+    from ..operators.summary import detect_language as dl
+    from ..sources.tables import read_table
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    return docs.select("doc_id", "lang", dl(F.col("text")).alias("detected"))
+
+
+@query
+def category_counts(spark, sf_dir):
+    """Documents per service category of their first 200 characters."""
+    from ..operators.summary import categorize
+    from ..sources.tables import read_table
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return docs.groupBy(categorize(F.substring("text", 1, 200)).alias("category")) \
+        .agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def lang_target(spark, sf_dir):
+    """Normalised language, its label and listing URL."""
+    from ..operators.summary import language_label, normalize_language, target_url
+    from ..sources.tables import read_table
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "lang")
+    norm = normalize_language(F.col("lang"))
+    return docs.select("doc_id", "lang", norm.alias("norm_lang"),
+                       language_label(norm).alias("label"), target_url(norm).alias("target_url"))
+
+
+# -- fetch log ----------------------------------------------------------------------
+def _fetch_log(spark, sf_dir):
+    from ..operators.fetchlog import events_as_fetch_log
+    from ..sources.tables import read_table
+    return events_as_fetch_log(read_table(spark, sf_dir, "events", "event_id", "user_id", "event_type"))
+
+
+@query
+def fetch_verdict(spark, sf_dir):
+    """Verdict and delay of every attempt."""
+    from ..operators.fetchlog import attempt_verdict
+    return attempt_verdict(_fetch_log(spark, sf_dir))
+
+
+@query
+def fetch_outcome(spark, sf_dir):
+    """outcome, attempts and waiting time per URL."""
+    from ..operators.fetchlog import attempt_verdict
+    from ..operators.fetchlog import fetch_outcome as fo
+    return fo(attempt_verdict(_fetch_log(spark, sf_dir)))

@@ -52,3 +52,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def materialize(df):
+    """Cut the lineage of an expensive intermediate (parsed pages) that a
+    query reads more than once: a reliable checkpoint in the shared folder,
+    so later stages and retried tasks read it instead of parsing again.
+    Never ``localCheckpoint``: executors may be lost."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
