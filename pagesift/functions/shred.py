@@ -259,6 +259,8 @@ def shred_pages(df: DataFrame, html: str = "html") -> DataFrame:
     above it can be reused by Spark), and an optimization fence - filters on
     derived columns are not pushed below it, so a page is never parsed twice.
     Put filters on page columns before it (they then reach the scan)."""
+    from ..sources.tables import spread
+    df = spread(df)
     keep = [f for f in df.schema.fields if f.name != html]
     out_schema = T.StructType(keep + [T.StructField("dom", DOM_TYPE)])
     names = [f.name for f in keep]

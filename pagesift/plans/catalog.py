@@ -300,3 +300,160 @@ def fetch_outcome(spark, sf_dir):
     from ..operators.fetchlog import attempt_verdict
     from ..operators.fetchlog import fetch_outcome as fo
     return fo(attempt_verdict(_fetch_log(spark, sf_dir)))
+
+
+# -- listing pages derived from orders (one page per order row) ----------------------
+BASE = "https://www.amazonaws.cn/en/new/"
+
+
+def _orders(spark, sf_dir, *cols):
+    from ..sources.tables import read_table
+    return read_table(spark, sf_dir, "orders", *cols)
+
+
+def _k(c="o_orderkey"):
+    return F.col(c).cast("string")
+
+
+@query
+def listing_json_links(spark, sf_dir):
+    """One JSON listing per order (three items, the third
+    repeating the first link)."""
+    from ..operators.listing import harvest_links
+    o = _orders(spark, sf_dir, "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
+    html = F.concat(
+        F.lit('<html><body><script>{"data":{"items":[{"fields":{"itemTitle":"Order '), _k(), F.lit(" "),
+        F.col("o_orderpriority"), F.lit(' ","itemLink":"/en/new/'), _k(),
+        F.lit('/","itemBody":"<p>Customer '), _k("o_custkey"), F.lit('</p>","itemMetadataDate":"'),
+        F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit('T00:00:00.000+08:00"}},{"fields":{"itemTitle":"Status '),
+        F.col("o_orderstatus"), F.lit('","itemLink":"https://www.amazonaws.cn/en/new/s/'), _k(),
+        F.lit('/","itemBody":""}},{"fields":{"itemTitle":"Again '), _k(), F.lit('","itemLink":"/en/new/'), _k(),
+        F.lit('/"}}]}}</script></body></html>'))
+    pages = o.select(F.col("o_orderkey").alias("page_id"), F.concat(F.lit(BASE), _k()).alias("url"),
+                     html.alias("html"))
+    links, _ = harvest_links(pages, base=BASE)
+    return links
+
+
+@query
+def listing_json_fallback(spark, sf_dir):
+    """Items without ``fields`` and without a body are found only by
+    the large ``data.items`` structure; an empty itemTitle does not fall back."""
+    from ..operators.listing import harvest_links
+    o = _orders(spark, sf_dir, "o_orderkey")
+    html = F.concat(F.lit('<script>{"data": {"items": [{"itemTitle":"T'), _k(), F.lit('","itemLink":"/en/new/t'),
+                    _k(), F.lit('/"},{"itemTitle":"","title":"Never","itemLink":"/x/"}]}}</script>'))
+    pages = o.select(F.col("o_orderkey").alias("page_id"), F.lit(BASE).alias("url"), html.alias("html"))
+    links, _ = harvest_links(pages, base=BASE)
+    return links
+
+
+@query
+def listing_html_links(spark, sf_dir):
+    """A section found by its heading, anchors screened,
+    titled and previewed."""
+    from ..operators.listing import harvest_links
+    o = _orders(spark, sf_dir, "o_orderkey", "o_custkey", "o_orderpriority")
+    html = F.concat(
+        F.lit("<div><h2>Most Recent Announcements from Amazon Web Services</h2><ul>"
+              '<li><a href="/en/new/'), _k(), F.lit('/">Order '), _k(), F.lit("</a></li>"
+              '<li><a href="/en/about/'), _k(), F.lit('">About</a></li>'
+              '<li><a href="javascript:void(0)">Menu</a></li>'
+              '<li><a href="https://other.example.com/en/new/'), _k(), F.lit('/">Ext</a></li>'
+              '<li><div><a href="/p/'), _k(), F.lit('/" title="Title '), _k(), F.lit('">x</a></div>'
+              "<p>Preview for customer "), _k("o_custkey"), F.lit(" longer than twenty</p></li>"
+              '<li><a href="/q/'), _k(), F.lit('/">Two</a> and a trailing text for '), F.col("o_orderpriority"),
+        F.lit(" orders</li></ul></div>"))
+    pages = o.select(F.col("o_orderkey").alias("page_id"), F.lit(BASE).alias("url"), html.alias("html"))
+    links, _ = harvest_links(pages, base=BASE)
+    return links
+
+
+@query
+def listing_failures(spark, sf_dir):
+    """L1, Q16: the crawled pages read as listings have no section."""
+    from ..operators.listing import harvest_links
+    _, failures = harvest_links(read_pages(spark, sf_dir))
+    return failures
+
+
+# -- dates --------------------------------------------------------------------------
+# Forms of each order date rendered as text (Spark pattern, parses?).
+DATE_FORMS = [
+    ("iso_short", "yyyy-M-d", True), ("iso_t", "yyyy-MM-dd'T'HH:mm:ss", True),
+    ("iso_z", "yyyy-MM-dd'T'HH:mm:ss'Z'", True), ("iso_ms_z", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'", True),
+    ("us_slash", "MM/dd/yyyy", True), ("us_dash", "M-d-yyyy", True), ("long", "MMMM d, yyyy", True),
+    ("abbr", "MMM dd, yyyy", True), ("day_long", "d MMMM yyyy", True), ("day_abbr", "dd MMM yyyy", True),
+    ("offset", "yyyy-MM-dd'T'HH:mm:ss.SSS'+08:00'", False), ("impossible", "yyyy-'02-30'", False),
+]
+
+
+@query
+def parse_dates(spark, sf_dir):
+    """Every order date rendered in twelve forms and parsed back."""
+    from ..functions.dates import parse_date_string
+    o = _orders(spark, sf_dir, "o_orderkey", "o_orderdate")
+    forms = F.array(*[F.struct(F.lit(n).alias("form"), F.date_format("o_orderdate", f).alias("s"))
+                      for n, f, _ in DATE_FORMS])
+    x = o.select("o_orderkey", F.inline(forms))
+    x = x.withColumn("s", F.when(F.col("form") == "abbr", F.upper("s")).otherwise(F.col("s")))
+    return x.select("o_orderkey", "form", "s", parse_date_string(F.col("s")).alias("parsed"))
+
+
+@query
+def text_dates(spark, sf_dir):
+    """Dates found in text; pattern order beats position; the month-name
+    pattern never parses (quirk Q1)."""
+    from ..functions.dates import dates_in_text
+    o = _orders(spark, sf_dir, "o_orderkey", "o_orderdate")
+    d = F.col("o_orderdate")
+    texts = F.array(
+        F.struct(F.lit("skip_bad").alias("variant"), F.concat(
+            F.lit("on 13/45/"), F.date_format(d, "yyyy"), F.lit(" then "), F.date_format(d, "MM/dd/yyyy"),
+            F.lit(" and "), F.date_format(d, "yyyy"), F.lit("-99-99")).alias("text")),
+        F.struct(F.lit("order_wins").alias("variant"), F.concat(
+            F.date_format(F.date_add(d, 1), "MM/dd/yyyy"), F.lit(" ... "),
+            F.date_format(d, "yyyy-MM-dd")).alias("text")),
+        F.struct(F.lit("dashes").alias("variant"), F.concat(
+            F.lit("due "), F.date_format(d, "MM-dd-yyyy"), F.lit(".")).alias("text")),
+        F.struct(F.lit("month_name").alias("variant"), F.concat(
+            F.lit("since "), F.date_format(d, "MMMM d, yyyy")).alias("text")))
+    x = o.select("o_orderkey", F.inline(texts))
+    return x.select("o_orderkey", "variant", dates_in_text(F.col("text")).alias("found"))
+
+
+@query
+def date_cascade(spark, sf_dir):
+    """E7-E10 (+E11 and the run-time fallback): announcement pages derived
+    from orders, each carrying its date in one place."""
+    o = _orders(spark, sf_dir, "o_orderkey", "o_orderdate")
+    d = F.col("o_orderdate")
+    head = F.concat(F.lit("<html><head><title>Order "), _k(), F.lit("</title>"))
+    body = F.concat(F.lit("<body><article><h1>Order number "), _k(), F.lit("</h1>"))
+    tail = F.lit("<p>Body text that is surely longer than fifty characters in total.</p></article></body></html>")
+    variants = F.array(
+        F.struct(F.lit("jsonld").alias("variant"), F.concat(
+            head, F.lit('<script type="application/ld+json">{"datePublished":"bad","dateCreated":"'),
+            F.date_format(d, "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit('"}</script></head>'), body, tail).alias("html")),
+        F.struct(F.lit("time").alias("variant"), F.concat(
+            head, F.lit("</head>"), body, F.lit('<time datetime="'), F.date_format(d, "yyyy-MM-dd"),
+            F.lit('">then</time>'), tail).alias("html")),
+        F.struct(F.lit("selector").alias("variant"), F.concat(
+            head, F.lit("</head>"), body, F.lit('<span class="post-date">'), F.date_format(d, "MMMM d, yyyy"),
+            F.lit("</span>"), tail).alias("html")),
+        F.struct(F.lit("text").alias("variant"), F.concat(
+            head, F.lit("</head>"), body, F.lit("<p>Posted "), F.date_format(d, "MM/dd/yyyy"), F.lit("</p>"),
+            tail).alias("html")),
+        F.struct(F.lit("none").alias("variant"), F.concat(head, F.lit("</head>"), body, tail).alias("html")))
+    pages = o.select(F.col("o_orderkey").alias("page_id"), F.inline(variants)) \
+        .withColumn("url", F.concat(F.lit(BASE), F.col("page_id").cast("string"), F.lit("/"), F.col("variant")))
+    ex = extract_content(pages.select("page_id", "variant", "url", "html"))
+    return ex.select("page_id", "variant", "publication_date")
+
+
+@query
+def largest_block(spark, sf_dir):
+    """Content area by the largest text block alone (selectors off)."""
+    ex = extract_content(read_pages(spark, sf_dir), use_selectors=False)
+    content, _ = split_results(ex)
+    return content.select("page_id", "content_text")

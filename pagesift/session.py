@@ -28,6 +28,8 @@ def get_session(master: str | None = None, app: str = "pagesift",
     if master:
         builder = builder.master(master)
     conf = dict(BASE_CONF)
+    if master and master.startswith("local"):
+        conf["spark.driver.memory"] = "8g"   # local mode: the driver JVM runs the tasks
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
