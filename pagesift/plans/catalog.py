@@ -457,3 +457,12 @@ def largest_block(spark, sf_dir):
     ex = extract_content(read_pages(spark, sf_dir), use_selectors=False)
     content, _ = split_results(ex)
     return content.select("page_id", "content_text")
+
+
+# -- streaming ------------------------------------------------------------------------
+@query
+def stream_dedup(spark, sf_dir):
+    """The pages file read as a stream (available-now trigger), links
+    extracted per micro-batch, first-seen URLs kept by the idempotent sink."""
+    from ..streaming.stream import stream_link_dedup
+    return stream_link_dedup(spark, sf_dir, glob="pages.parquet")

@@ -19,6 +19,8 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     partitions than there are cores (a small file of one row group is one
     partition; the HTML parse would then run on one core).  At scale the scan
     already yields thousands of splits and nothing is shuffled here."""
+    if df.isStreaming:
+        return df
     spark = df.sparkSession
     target = min_partitions or spark.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < target:
