@@ -391,13 +391,14 @@ DATE_FORMS = [
 @query
 def parse_dates(spark, sf_dir):
     """Every order date rendered in twelve forms and parsed back."""
-    from ..functions.dates import parse_date_string
+    from ..functions.dates import normalize_date_text, parse_normalized_date
     o = _orders(spark, sf_dir, "o_orderkey", "o_orderdate")
     forms = F.array(*[F.struct(F.lit(n).alias("form"), F.date_format("o_orderdate", f).alias("s"))
                       for n, f, _ in DATE_FORMS])
     x = o.select("o_orderkey", F.inline(forms))
     x = x.withColumn("s", F.when(F.col("form") == "abbr", F.upper("s")).otherwise(F.col("s")))
-    return x.select("o_orderkey", "form", "s", parse_date_string(F.col("s")).alias("parsed"))
+    x = x.withColumn("_v", normalize_date_text(F.col("s")))
+    return x.select("o_orderkey", "form", "s", parse_normalized_date(F.col("_v")).alias("parsed"))
 
 
 @query
