@@ -24,7 +24,7 @@ VERSION = "1.0.0"
 
 
 def output_dir(base: str, run_ts: datetime, language: str = "en",
-               template: str = "aws_announcements_{timestamp}") -> str:
+               template: str = "announcements_{timestamp}") -> str:
     """K7: ``<base>/<template with the run time>_<language>``."""
     return f"{base.rstrip('/')}/{template.format(timestamp=run_ts.strftime('%Y%m%d_%H%M%S'))}_{language}"
 
