@@ -47,3 +47,12 @@ def test_skip_is_partitioning_independent(spark):
     a = sorted(map(tuple, handle_duplicates(df.repartition(1), "skip").collect()))
     b = sorted(map(tuple, handle_duplicates(df.repartition(7), "skip").collect()))
     assert a == b and len({r[0] for r in a}) == len(a)
+
+
+def test_skip_plan_combines_map_side(spark):
+    from conftest import SF
+    from pagesift.plans import catalog
+    plan = catalog.dedup_skip(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    # a partial aggregate below the shuffle: a hot URL is one row per task before it
+    assert plan.count("HashAggregate") + plan.count("ObjectHashAggregate") + plan.count("SortAggregate") >= 2
+    assert "partial_min" in plan
