@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dom as D
-from ..functions.dates import NTZ, dates_in_text, parse_date_string
+from ..functions.dates import NTZ, dates_in_text, ntz_lit, parse_date_string
 from ..functions.shred import shred_pages
 from ..functions.text import PY_WS, cut_with_ellipsis, let, py_strip
 from ..functions.urls import resolve_url
@@ -218,7 +218,7 @@ def extract_content(pages: DataFrame, run_ts: datetime = DEFAULT_RUN_TS,
     ``failures`` are the two halves (see ``split_results``).  ``where`` is a
     predicate on the page columns applied before parsing (it reaches the
     parquet scan)."""
-    run = F.lit(run_ts).cast(NTZ)
+    run = ntz_lit(run_ts)
     if where is not None:
         pages = pages.filter(where)
     keep = [c for c in pages.columns if c != "html"]
@@ -276,7 +276,7 @@ def extract_links_pages(links: DataFrame, pages: DataFrame, run_ts: datetime = D
     found = joined.filter(F.col("html").isNotNull())
     missing = joined.filter(F.col("html").isNull())
     out = extract_content(found, run_ts=run_ts, given_date="_link_date", **kw).drop("_link_date")
-    run = F.lit(run_ts).cast(NTZ)
+    run = ntz_lit(run_ts)
     miss = missing.select(
         "url", "page_id", "ordinal",
         F.lit(None).cast("string").alias("title"), F.lit(None).cast(NTZ).alias("publication_date"),
