@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -39,6 +41,23 @@ def get_session(master: str | None = None, app: str = "pagesift",
     spark.sparkContext.setLogLevel("ERROR")
     for k in ("spark.sql.session.timeZone",):
         spark.conf.set(k, conf[k])
+    return ship_package(spark)
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Give the Python workers this package: it goes to every executor as a
+    zip (``addPyFile``), once per application, so a query runs from any
+    working folder and on executors that have no copy of the repository."""
+    sc = spark.sparkContext
+    if getattr(sc, "_pagesift_shipped", False):
+        return spark
+    top = Path(__file__).resolve().parent
+    path = Path(tempfile.mkdtemp(prefix="pagesift-zip-")) / f"{top.name}.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(top.rglob("*.py")):
+            z.write(f, f"{top.name}/{f.relative_to(top)}")
+    sc.addPyFile(str(path))
+    sc._pagesift_shipped = True
     return spark
 
 
