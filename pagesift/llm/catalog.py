@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing
+from . import exact_dedup, language_id, mixing, secrets_scan, sentencepiece_bpe, suffix_tree_lm
 from .common import table
 
 QUERIES = {}
@@ -40,3 +40,25 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
     m = mixing.mixture(docs)
     return m.select("d.doc_id", "d.source", "n_tokens", "source_tokens", "exponent", "weight", "epochs", "block", "copies")
+
+
+@query
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return secrets_scan.scan(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, digests=True)
+
+
+@query
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return sentencepiece_bpe.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), digests=True)
+
+
+@query
+def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree_lm.score(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predict(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))

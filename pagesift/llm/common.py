@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,7 +62,7 @@ def slices(batches, column: str, max_bytes: int = 4 << 20):
         if not n:
             continue
         col = batch.column(batch.schema.get_field_index(column))
-        lengths = pa.compute.binary_length(col).fill_null(0).to_numpy(zero_copy_only=False)
+        lengths = pc.binary_length(col).fill_null(0).to_numpy(zero_copy_only=False)
         start, size = 0, 0
         for i in range(n):
             size += int(lengths[i])
