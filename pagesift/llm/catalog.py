@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann_tree, exact_dedup, language_id, mixing, secrets_scan, sentencepiece_bpe, suffix_tree_lm
+from . import ann_tree, exact_dedup, html_diff, language_id, mixing, secrets_scan, sentencepiece_bpe, suffix_tree_lm
 from .common import table
 
 QUERIES = {}
@@ -68,3 +68,8 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
     return ann_tree.search(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
+@query
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_diff.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
