@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann_tree, exact_dedup, html_diff, language_id, mixing, secrets_scan, sentencepiece_bpe, suffix_tree_lm
+from . import ann_tree, exact_dedup, html_diff, language_id, minhash, mixing, secrets_scan, sentencepiece_bpe, suffix_tree_lm
 from .common import table
 
 QUERIES = {}
@@ -73,3 +73,8 @@ def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_diff.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
+@query
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_classes(table(spark, sf_dir, "documents", "doc_id", "text"))

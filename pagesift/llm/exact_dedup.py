@@ -44,12 +44,13 @@ def _positions(key: Column) -> list[Column]:
     return [F.shiftrightunsigned(h, 15 * i).bitwiseAND(F.lit(BITS - 1)).cast("int") for i in range(K)]
 
 
-def repeated_filter(keys: DataFrame, key: str, n_rows: int) -> tuple[DataFrame, int]:
-    """Pass 1: ``(block, bits)`` with the bits that at least two rows set."""
+def repeated_filter(keys: DataFrame, key: str, n_rows: int, least: int = 2) -> tuple[DataFrame, int]:
+    """Pass 1: ``(block, bits)`` with the bits that at least ``least`` rows set
+    (1: an ordinary Bloom filter of the keys)."""
     n_blocks = max(1, min(MAX_BLOCKS, -(-n_rows * BITS_PER_ROW // BITS)))
     bits = keys.select(_block(F.col(key), n_blocks).alias("block"),
                        F.explode(F.array_distinct(F.array(*_positions(F.col(key))))).alias("bit"))
-    twice = (bits.groupBy("block", "bit").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    twice = (bits.groupBy("block", "bit").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
              .groupBy("block").agg(F.bitmap_construct_agg(F.col("bit").cast("long")).alias("bits")))
     return twice, n_blocks
 
