@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann_tree, exact_dedup, html_diff, language_id, minhash, mixing, secrets_scan, sentencepiece_bpe, suffix_tree_lm
+from . import ann_tree, bwt_dedup, exact_dedup, html_diff, language_id, minhash, mixing, secrets_scan, sentencepiece_bpe, suffix_tree_lm
 from .common import table
 
 QUERIES = {}
@@ -78,3 +78,8 @@ def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_classes(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query
+def op10_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bwt_dedup.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
