@@ -27,6 +27,7 @@ of a row are never inputs of its prediction.
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 
 import numpy as np
@@ -41,6 +42,8 @@ ROWS_PER_LANGUAGE = 400
 EPOCHS, BATCH, PIECE = 3, 256, 20      # sequences of three pieces of up to 2 * PIECE words
 RATE, DECAY = 0.3, 1e-6
 CHUNK = 64
+RESCALE = 8               # steps between rescalings; emissions are cut at exp(-MOST)
+MOST = 60.0
 WORD_CACHE = 300_000
 UNKNOWN = "und"
 WORDS = re.compile(r"[^\W\d_]+")
@@ -103,56 +106,66 @@ def marginals(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray)
     (forward-backward in linear space, rescaled at every step)."""
     n_labels = scores.shape[1]
     A = np.exp(transitions - transitions.max())
-    e = np.exp(scores - scores.max(axis=1, keepdims=True))
+    e = np.exp(np.maximum(scores - scores.max(axis=1, keepdims=True), -MOST))
     lengths = lengths[lengths > 0]
     chunks = -(-lengths // CHUNK)
     n = int(chunks.sum())
     first_chunk = np.cumsum(chunks) - chunks
     nth = np.arange(n) - np.repeat(first_chunk, chunks)
     size = np.minimum(CHUNK, np.repeat(lengths, chunks) - nth * CHUNK)
-    # pad chunks to CHUNK steps; a padded step leaves messages as they are
-    starts = np.cumsum(size) - size
+    # chunks in order of size, so the chunks that have a step are the first ones
+    order = np.argsort(-size, kind="stable")
+    rank = np.empty(n, np.int64)
+    rank[order] = np.arange(n)
     step = np.arange(CHUNK)
     real = step[None, :] < size[:, None]
-    x = np.ones((n, CHUNK, n_labels))
-    x[real] = e
-    head = nth == 0
-
-    def forward(state, t):                 # (n, k, labels) messages
-        moved = state @ A
+    place = np.zeros((n, CHUNK), np.int64)
+    place[real] = np.arange(len(e))
+    place = np.ascontiguousarray(place[order].T)          # (steps, chunks): word of every step
+    live = np.searchsorted(-size[order], -step, side="left")
+    head = nth[order] == 0
+
+    def forward(state, t):                 # (n, k, labels) messages, in order of size
+        now = state[: live[t]]
+        moved = now @ A
         if t == 0:
-            moved[head] = state[head]
-        moved = moved * x[:, t, None, :]
-        moved /= moved.max(axis=(1, 2), keepdims=True)
-        return np.where(real[:, t, None, None], moved, state)
+            moved[head] = now[head]
+        moved *= e[place[t, : live[t]], None, :]
+        if t % RESCALE == RESCALE - 1:
+            moved /= moved.max(axis=(1, 2), keepdims=True)
+        state[: live[t]] = moved
 
     transfer = np.broadcast_to(np.eye(n_labels), (n, n_labels, n_labels)).copy()
     for t in range(CHUNK):
-        transfer = forward(transfer, t)
+        forward(transfer, t)
+    transfer = (transfer / transfer.max(axis=(1, 2), keepdims=True))[rank]
     into, out = np.ones((n, n_labels)), np.ones((n, n_labels))
     by_length = np.argsort(-chunks, kind="stable")
     for k in range(1, int(chunks.max())):
-        live = by_length[: np.searchsorted(-chunks[by_length], -k, side="left")]
-        now = first_chunk[live] + k
+        some = by_length[: np.searchsorted(-chunks[by_length], -k, side="left")]
+        now = first_chunk[some] + k
         into[now] = np.einsum("ni,nij->nj", into[now - 1], transfer[now - 1])
         into[now] /= into[now].max(axis=1, keepdims=True)
     for k in range(int(chunks.max()) - 1, 0, -1):
-        live = by_length[: np.searchsorted(-chunks[by_length], -k, side="left")]
-        now = first_chunk[live] + k
+        some = by_length[: np.searchsorted(-chunks[by_length], -k, side="left")]
+        now = first_chunk[some] + k
         out[now - 1] = np.einsum("nij,nj->ni", transfer[now], out[now])
         out[now - 1] /= out[now - 1].max(axis=1, keepdims=True)
-    alpha = np.empty_like(x)
-    state = into[:, None, :]
+    p = np.empty_like(e)
+    state = into[order][:, None, :]
     for t in range(CHUNK):
-        state = forward(state, t)
-        alpha[:, t] = state[:, 0]
-    beta = out
+        forward(state, t)
+        p[place[t, : live[t]]] = state[: live[t], 0]
+    beta = out[order]
+    back = A.T.copy()
     for t in range(CHUNK - 1, -1, -1):
-        alpha[:, t] *= beta
-        back = (x[:, t] * beta) @ A.T
-        back /= back.max(axis=1, keepdims=True)
-        beta = np.where(real[:, t, None], back, beta)
-    p = alpha[real]
+        k = live[t]
+        at = place[t, :k]
+        p[at] *= beta[:k]
+        moved = (e[at] * beta[:k]) @ back
+        if t % RESCALE == 0:
+            moved /= moved.max(axis=1, keepdims=True)
+        beta[:k] = moved
     return p / p.sum(axis=1, keepdims=True)
 
 
@@ -243,7 +256,8 @@ class Tagger:
         words = [words_of(t) for t in texts]
         if len(self.known) > WORD_CACHE:
             self._clear()
-        new = [w for w in dict.fromkeys(w for ws in words for w in ws) if w not in self.known]
+        flat = list(itertools.chain.from_iterable(words))
+        new = [w for w in dict.fromkeys(flat) if w not in self.known]
         if new:
             base = len(self.known)
             self.known.update(zip(new, range(base, base + len(new))))
@@ -251,7 +265,7 @@ class Tagger:
         lengths = np.array([len(w) for w in words], np.int64)
         if not lengths.sum():
             return words, np.zeros((0, len(self.labels)))
-        at = np.fromiter((self.known[w] for ws in words for w in ws), np.int64, int(lengths.sum()))
+        at = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
         return words, marginals(self.scores[at], lengths, self.transitions)
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
