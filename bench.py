@@ -18,6 +18,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pagesift.plans import catalog  # noqa: E402
 from pagesift.session import get_session  # noqa: E402
+from pagesift.sources.tables import PAGE_PARTITIONS  # noqa: E402
 
 HEADLINE = ["page_title", "page_content", "page_failures", "page_links", "dedup_skip",
             "dedup_version", "month_filter", "listing_json_links", "run_summary",
@@ -29,6 +30,7 @@ def main():
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = get_session(f"local[{cpus}]", shuffle_partitions=int(cpus) * 2,
                         extra={"spark.driver.memory": "8g"})
+    spark.conf.set(PAGE_PARTITIONS, cpus)   # sf0.1 pages are one small file
     m = re.search(r"sf([0-9.]+)", sf_dir)
     sf = float(m.group(1)) if m else None
     names = [n for n in HEADLINE if n in catalog.QUERIES]

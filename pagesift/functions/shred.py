@@ -31,8 +31,8 @@ from __future__ import annotations
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 # Fixed values of the tree builder (html.parser builder defaults).
@@ -190,28 +190,42 @@ class _TreeBuilder(HTMLParser):
 
 
 def shred_one(html: str | None):
-    """Node table of one page as a dict of equal-length lists (or None)."""
+    """(node table, error) of one page: a page that the tokenizer rejects has
+    no nodes but the error it raised, so it can become a failure row."""
     if html is None:
-        return None
+        return None, None
     b = _TreeBuilder()
     try:
         b.feed(html)
         b.finish()
-    except Exception:  # the tokenizer is lenient; keep whatever was built
-        b._flush()
-        while len(b.stack) > 1:
-            b._pop()
-        b.end[0] = len(b.kind) - 1
-    return b
-
-
-def _shred_batch(htmls: pa.Array) -> pa.Array:
+    except (AssertionError, ValueError, RecursionError) as e:
+        return None, f"{type(e).__name__}: {e}"
+    return b, None
+
+
+def byte_slices(batches, column: str, max_bytes: int = 4 << 20):
+    """Cut Arrow batches into pieces of about ``max_bytes`` of ``column`` (one
+    longer value stays whole), so memory follows bytes, not rows."""
+    for batch in batches:
+        sizes = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()
+        start = held = 0
+        for i, size in enumerate(sizes):
+            held += size
+            if held >= max_bytes or i == len(sizes) - 1:
+                yield batch.slice(start, i + 1 - start)
+                start, held = i + 1, 0
+
+
+def _shred_batch(htmls: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """(dom, parse error) columns of a batch of pages."""
     offsets = [0]
     cols = {k: [] for k in ("end", "parent", "kind", "tag", "attrs", "text")}
     pos = []
     valid = []
+    errors = []
     for h in htmls.to_pylist():
-        b = shred_one(h)
+        b, error = shred_one(h)
+        errors.append(error)
         if b is None:
             offsets.append(offsets[-1])
             valid.append(False)
@@ -234,40 +248,23 @@ def _shred_batch(htmls: pa.Array) -> pa.Array:
          pa.array(cols["text"], pa.string())],
         fields=list(_ARROW_NODE))
     mask = pa.array([not v for v in valid], pa.bool_())
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), nodes, mask=mask)
-
-
-_shred_udf = None
-
-
-def shred_html(html: Column) -> Column:
-    """``html STRING`` -> ``dom`` as a column expression (Arrow-batched UDF).
-
-    For whole tables prefer ``shred_pages``: a filter written on a derived
-    column would be pushed below a projection holding this call and make the
-    optimizer evaluate it twice."""
-    global _shred_udf
-    if _shred_udf is None:
-        _shred_udf = F.arrow_udf(_shred_batch, DOM_TYPE)
-    return _shred_udf(html)
+    return (pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), nodes, mask=mask),
+            pa.array(errors, pa.string()))
 
 
 def shred_pages(df: DataFrame, html: str = "html") -> DataFrame:
-    """Replace the ``html`` column of ``df`` by ``dom``, batch by batch.
-
-    A ``mapInArrow`` node: one parse per page, deterministic (so exchanges
-    above it can be reused by Spark), and an optimization fence - filters on
-    derived columns are not pushed below it, so a page is never parsed twice.
-    Put filters on page columns before it (they then reach the scan)."""
-    from ..sources.tables import spread
-    df = spread(df)
+    """Replace the ``html`` column of ``df`` by ``dom`` and ``parse_error``,
+    slice by slice.
+
+    A ``mapInArrow`` node: deterministic (so exchanges above it can be reused
+    by Spark), and filters on derived columns are not pushed below it.  Put
+    filters on page columns before it (they then reach the scan)."""
     keep = [f for f in df.schema.fields if f.name != html]
-    out_schema = T.StructType(keep + [T.StructField("dom", DOM_TYPE)])
+    out_schema = T.StructType(keep + [T.StructField("dom", DOM_TYPE), T.StructField("parse_error", T.StringType())])
     names = [f.name for f in keep]
 
     def run(batches):
-        for b in batches:
+        for b in byte_slices(batches, html):
             cols = [b.column(n) for n in names]
-            dom = _shred_batch(b.column(html))
-            yield pa.RecordBatch.from_arrays(cols + [dom], names=names + ["dom"])
+            yield pa.RecordBatch.from_arrays([*cols, *_shred_batch(b.column(html))], names=[*names, "dom", "parse_error"])
     return df.mapInArrow(run, out_schema)

@@ -21,6 +21,7 @@ from ..functions.dates import NTZ, dates_in_text, ntz_lit, parse_date_string
 from ..functions.shred import shred_pages
 from ..functions.text import PY_WS, cut_with_ellipsis, let, py_strip
 from ..functions.urls import resolve_url
+from .dedup import first_per_key
 
 # Selectors tried in order for the title, the content area and
 # the publication date, and the JSON-LD date fields.
@@ -209,6 +210,50 @@ def text_date(dom: Column, month_names: bool = False) -> Column:
 
 
 # -- page driver (E1, E16) --------------------------------------------------------
+FIELDS = ["title", "content_text", "embedded_links", "own_date", "ld_error", "parse_error"]
+
+
+def page_fields(pages: DataFrame, link_scope: str = "area", use_selectors: bool = True,
+                month_names: bool = False) -> DataFrame:
+    """``pages(url, html, ...)`` -> ``FIELDS`` beside the other columns: what a
+    page says by itself, before a given date or the run time come in."""
+    keep = [c for c in pages.columns if c != "html"]
+    dom = F.col("dom")
+    stage1 = shred_pages(pages.select(*keep, "html")).select(
+        *keep, "dom", "parse_error",
+        extract_title(dom).alias("title"),
+        content_area(dom, use_selectors).alias("_area"),
+        jsonld_date(dom).alias("_ld"))
+    area = F.col("_area")
+    scope = area if link_scope == "area" else D.document(dom)
+    return stage1.select(
+        *keep, "title", content_text(dom, area).alias("content_text"),
+        F.when(area.isNotNull(), embedded_links(dom, scope, F.col("url"))).alias("embedded_links"),
+        F.coalesce(F.col("_ld.date"), time_element_date(dom), selector_date(dom),
+                   text_date(dom, month_names)).alias("own_date"),
+        F.col("_ld.error").alias("ld_error"), "parse_error")
+
+
+def _outcome(fields: DataFrame, keep: list[str], given: Column, run: Column,
+             missing: Column | None = None) -> DataFrame:
+    """Dates and errors of rows that carry ``FIELDS``; ``missing`` marks rows
+    that have no page at all."""
+    error = (F.when(F.col("parse_error").isNotNull(), F.col("parse_error"))
+             .when(F.col("title").isNull(), F.lit(TITLE_ERROR))
+             .when(given.isNull() & F.col("ld_error").isNotNull(), F.col("ld_error"))
+             .when(F.col("content_text").isNull(), F.lit(TEXT_ERROR)))
+    message = F.when(error.isNotNull(), F.concat(F.lit(PARSE_PREFIX), error))
+    kind = F.when(error.isNotNull(), F.lit(PARSE_ERROR_TYPE))
+    date = F.coalesce(given, F.col("own_date"), run)
+    if missing is not None:
+        message = F.when(missing, F.lit(MISSING_PAGE_ERROR)).otherwise(message)
+        kind = F.when(missing, F.lit(MISSING_PAGE_TYPE)).otherwise(kind)
+        date = F.when(~missing, date)
+    return fields.select(
+        *keep, "title", date.alias("publication_date"), "content_text", "embedded_links",
+        run.alias("extraction_timestamp"), message.alias("error_message"), kind.alias("error_type"), _fence())
+
+
 def extract_content(pages: DataFrame, run_ts: datetime = DEFAULT_RUN_TS,
                     given_date: str | None = None, link_scope: str = "area",
                     use_selectors: bool = True, month_names: bool = False,
@@ -217,47 +262,35 @@ def extract_content(pages: DataFrame, run_ts: datetime = DEFAULT_RUN_TS,
     content fields, ``error_message`` and ``error_type``.  ``content`` and
     ``failures`` are the two halves (see ``split_results``).  ``where`` is a
     predicate on the page columns applied before parsing (it reaches the
-    parquet scan)."""
-    run = ntz_lit(run_ts)
+    parquet scan).  A page that cannot be parsed is a failure."""
     if where is not None:
         pages = pages.filter(where)
     keep = [c for c in pages.columns if c != "html"]
     given = F.col(given_date) if given_date else F.lit(None).cast(NTZ)
-    shredded = shred_pages(pages.select(*keep, given.alias("_given"), "html"))
-    dom = F.col("dom")
-    stage1 = shredded.select(
-        *keep, "_given", "dom",
-        extract_title(dom).alias("title"),
-        content_area(dom, use_selectors).alias("_area"),
-        jsonld_date(dom).alias("_ld"))
-    area = F.col("_area")
-    scope = area if link_scope == "area" else D.document(dom)
-    stage2 = stage1.select(
-        *keep, "title", "_given", "_ld",
-        content_text(dom, area).alias("content_text"),
-        F.when(area.isNotNull(), embedded_links(dom, scope, F.col("url"))).alias("embedded_links"),
-        F.coalesce(F.col("_given"), F.col("_ld.date"), time_element_date(dom),
-                   selector_date(dom), text_date(dom, month_names), run).alias("publication_date"))
-    ld_error = F.col("_given").isNull() & F.col("_ld.error").isNotNull()
-    error = (F.when(F.col("title").isNull(), F.lit(TITLE_ERROR))
-             .when(ld_error, F.col("_ld.error"))
-             .when(F.col("content_text").isNull(), F.lit(TEXT_ERROR)))
-    return stage2.select(
-        *keep, "title", "publication_date", "content_text", "embedded_links",
-        run.alias("extraction_timestamp"),
-        F.when(error.isNotNull(), F.concat(F.lit(PARSE_PREFIX), error)).alias("error_message"),
-        F.when(error.isNotNull(), F.lit(PARSE_ERROR_TYPE)).alias("error_type"))
+    fields = page_fields(pages, link_scope, use_selectors, month_names)
+    return _outcome(fields, keep, given, ntz_lit(run_ts))
+
+
+FENCE = "_fence"
+
+
+def _fence() -> Column:
+    """A column the optimizer pushes no filter past (it is not deterministic).
+    Without it a filter on ``error_message`` would move below the projections
+    and evaluate the whole extraction a second time; a reader that does not
+    filter by it never computes it."""
+    return F.monotonically_increasing_id().alias(FENCE)
 
 
 def split_results(extracted: DataFrame):
     """(content, failures) of ``extract_content``'s output."""
     keep = [c for c in extracted.columns
             if c not in ("title", "publication_date", "content_text", "embedded_links",
-                         "extraction_timestamp", "error_message", "error_type")]
-    content = extracted.filter(F.col("error_message").isNull()).select(
+                         "extraction_timestamp", "error_message", "error_type", FENCE)]
+    content = extracted.filter(F.col("error_message").isNull() & (F.col(FENCE) >= 0)).select(
         *keep, "title", "publication_date", "content_text", "embedded_links",
         "extraction_timestamp")
-    failures = extracted.filter(F.col("error_message").isNotNull()).select(
+    failures = extracted.filter(F.col("error_message").isNotNull() & (F.col(FENCE) >= 0)).select(
         *[c for c in keep if c != "url"], "url", "error_message", "error_type",
         F.col("extraction_timestamp").alias("timestamp"))
     return content, failures
@@ -265,23 +298,15 @@ def split_results(extracted: DataFrame):
 
 def extract_links_pages(links: DataFrame, pages: DataFrame, run_ts: datetime = DEFAULT_RUN_TS,
                         **kw) -> DataFrame:
-    """Announcement links joined to their crawled pages (left join on url).
-
-    Links without a crawled page become failure rows.  The link's date is
-    the given date of the page (E7).  Both sides are large at scale: the
-    join is a shuffle join on ``url`` (AQE may switch it to broadcast when
-    the link side turns out small at run time)."""
-    joined = links.select("page_id", "ordinal", "url", F.col("publication_date").alias("_link_date")) \
-        .join(pages.select("url", "html"), "url", "left")
-    found = joined.filter(F.col("html").isNotNull())
-    missing = joined.filter(F.col("html").isNull())
-    out = extract_content(found, run_ts=run_ts, given_date="_link_date", **kw).drop("_link_date")
-    run = ntz_lit(run_ts)
-    miss = missing.select(
-        "url", "page_id", "ordinal",
-        F.lit(None).cast("string").alias("title"), F.lit(None).cast(NTZ).alias("publication_date"),
-        F.lit(None).cast("string").alias("content_text"),
-        F.lit(None).cast("array<struct<text:string,url:string,context:string>>").alias("embedded_links"),
-        run.alias("extraction_timestamp"),
-        F.lit(MISSING_PAGE_ERROR).alias("error_message"), F.lit(MISSING_PAGE_TYPE).alias("error_type"))
-    return out.unionByName(miss)
+    """Announcement links with the content of their crawled pages.
+
+    Of the pages of one URL the first (smallest page_id) counts, as a crawler
+    fetches a link once; only pages that some link names are parsed, each
+    once.  Links without a page become failure rows.  A link's date is the
+    given date of its page (E7).  The joins are shuffle joins on ``url``; a URL
+    that very many links name is split by AQE's skew join."""
+    wanted = links.select("url").distinct()
+    first = first_per_key(pages.select("page_id", "url", "html").join(wanted, "url", "left_semi"), "url", ["page_id"])
+    fields = page_fields(first.select("url", "html"), **kw).withColumn("_found", F.lit(True))
+    joined = links.select("page_id", "ordinal", "url", F.col("publication_date").alias("_given")).join(fields, "url", "left")
+    return _outcome(joined, ["url", "page_id", "ordinal"], F.col("_given"), ntz_lit(run_ts), F.col("_found").isNull())

@@ -6,9 +6,9 @@ on partitioning.
 
 * ``skip``: the first row per URL; also drops URLs already stored (a
   left-anti join against the sink's URLs).  Planned as ``min(struct(order,
-  row))`` per URL: partial aggregation keeps one row per URL per task before
-  the shuffle, so a hub URL with a third of all rows costs no more than any
-  other.
+  row))`` per URL (a sort aggregate, as the struct holds strings): partial
+  aggregation keeps one row per URL per task before the shuffle, so a hub URL
+  with a third of all rows costs no more than any other.
 * ``overwrite``: every row kept (the reference records the URLs only).
 * ``version``: the n-th copy of a URL gets `` (vN)`` on its title; positions
   come from the skew-safe two-level prefix sum in ``ranking.py``.
@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .ranking import positions
 
 STRATEGIES = ("skip", "overwrite", "version")
@@ -33,8 +34,8 @@ def check_strategy(strategy: str) -> str:
 
 
 def first_per_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """First row per ``key`` by ``order`` as a hash aggregate with map-side
-    combine (``min`` of a struct compares its fields in order)."""
+    """First row per ``key`` by ``order``: ``min`` of a struct compares its
+    fields in order, with map-side combine (planned as a sort aggregate)."""
     rest = [c for c in df.columns if c != key and c not in order]
     packed = F.struct(*[F.col(c) for c in order], *[F.col(c) for c in rest])
     return (df.groupBy(key).agg(F.min(packed).alias("_first"))
@@ -58,6 +59,7 @@ def handle_duplicates(df: DataFrame, strategy: str = "skip", key: str = "url",
             df = df.join(seen.select(key).distinct(), key, "left_anti")
         return first_per_key(df, key, order)
     unit = unit or order[0]
+    df = materialize(df)      # read for the unit counts and for the rows
     ranked = positions(df, [key], unit, [c for c in order if c != unit], name="_version")
     return ranked.withColumn(
         title, F.when(F.col("_version") > 1,

@@ -50,27 +50,33 @@ def attempt_verdict(log: DataFrame, max_retries: int = 3) -> DataFrame:
     return log.withColumn("verdict", verdict).withColumn("delay", delay)
 
 
-def fetch_outcome(verdicts: DataFrame) -> DataFrame:
+def fetch_outcome(verdicts: DataFrame, max_retries: int = 3) -> DataFrame:
     """per URL the first non-retry attempt decides; attempts used and the
-    total delay waited before it.  A hash aggregate with partial aggregation
-    (``min_by`` / filtered sums), so a URL with many attempts stays cheap."""
-    verdicts = verdicts.repartition("url")  # one exchange for the aggregate and the join
+    total delay waited before it.  One aggregate with partial aggregation: a
+    URL is retried at most ``max_retries`` times, so its delays are summed per
+    attempt number and the sums below the deciding attempt are added up.  A
+    URL with very many attempts reaches the shuffle as one row per task."""
     decided = F.col("verdict") != "retry"
-    first = F.min(F.when(decided, F.col("attempt"))).alias("deciding_attempt")
+    waited = [F.sum(F.when(F.col("attempt") == k, F.col("delay"))).alias(f"_w{k}") for k in range(max_retries)]
     agg = verdicts.groupBy("url").agg(
-        first,
-        F.min_by(F.when(decided, F.struct("verdict", "status")),
-                 F.when(decided, F.col("attempt"))).alias("_d"),
-        F.max("attempt").alias("_last"))
-    delays = verdicts.join(agg.select("url", "deciding_attempt"), "url") \
-        .filter(F.col("deciding_attempt").isNull() | (F.col("attempt") < F.col("deciding_attempt"))) \
-        .groupBy("url").agg(F.sum("delay").alias("total_delay"))
-    return agg.join(delays, "url", "left").select(
+        F.min(F.when(decided, F.col("attempt"))).alias("_at"),
+        F.min_by(F.when(decided, F.struct("verdict", "status")), F.when(decided, F.col("attempt"))).alias("_d"),
+        F.max("attempt").alias("_last"), *waited)
+    before = [F.when(F.col("_at").isNull() | (F.col("_at") > k), F.coalesce(F.col(f"_w{k}"), F.lit(0.0)))
+              .otherwise(F.lit(0.0)) for k in range(max_retries)]
+    total = before[0]
+    for x in before[1:]:
+        total = total + x
+    return agg.select(
         "url",
         F.coalesce(F.col("_d.verdict"), F.lit("pending")).alias("outcome"),
         F.col("_d.status").alias("final_status"),
-        F.coalesce(F.col("deciding_attempt") + 1, F.col("_last") + 1).cast("bigint").alias("attempts"),
-        F.coalesce(F.col("total_delay"), F.lit(0.0)).alias("total_delay"))
+        (F.coalesce("_at", "_last") + 1).cast("bigint").alias("attempts"),
+        total.alias("total_delay"))
+
+
+# events of one unit of the two-level positions: consecutive event ids
+EVENT_UNIT = 1 << 12
 
 
 def events_as_fetch_log(events: DataFrame) -> DataFrame:
@@ -78,8 +84,9 @@ def events_as_fetch_log(events: DataFrame) -> DataFrame:
     order, the n-th event (0-based) is attempt ``n mod 4`` of URL
     ``user/<user_id>/<n div 4>``; the event type gives the response."""
     from .ranking import positions
-    ranked = positions(events.select("event_id", "user_id", "event_type"), ["user_id"],
-                       "event_id", [], name="_n")
+    events = events.select("event_id", "user_id", "event_type",
+                           F.floor(F.col("event_id") / EVENT_UNIT).alias("_unit"))
+    ranked = positions(events, ["user_id"], "_unit", ["event_id"], name="_n")
     n = F.col("_n") - 1
     status = (F.when(F.col("event_type") == "view", 200).when(F.col("event_type") == "click", 503)
               .when(F.col("event_type") == "signup", 429).when(F.col("event_type") == "purchase", 500))

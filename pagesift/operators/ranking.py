@@ -44,10 +44,9 @@ def positions(df: DataFrame, key: list[str], unit: str, within: list[str],
     """Adds ``name`` = 1-based position of each row among the rows of its key,
     ordered by ``(unit, *within)``; equals ``row_number()`` over that order.
 
-    The input is hash-partitioned once on ``(key, unit)``: the unit counts and
-    the ranks inside a unit both read that one exchange (Spark reuses it), so
-    an expensive input (page extraction) is computed once."""
-    df = df.repartition(*key, unit)
+    The input is read twice, for the unit counts (two narrow columns, combined
+    before the shuffle) and for the rows: an expensive input (page extraction)
+    should be materialized first."""
     offs = unit_offsets(df, key, unit, width)
     w = Window.partitionBy(*key, unit).orderBy(*(within or [unit]))
     local = df.withColumn("_local", F.row_number().over(w))

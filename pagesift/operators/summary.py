@@ -31,8 +31,20 @@ def run_summary(items: DataFrame, run: str = "run_id", ok: str = "ok",
 
 
 def success_rate(ok: Column, total: Column) -> Column:
-    """A2"""
-    return F.round(ok * 100.0 / F.greatest(total, F.lit(1)), 1)
+    """A2: one decimal, halves to the even digit."""
+    return one_decimal(ok * 100.0 / F.greatest(total, F.lit(1)))
+
+
+def one_decimal(x: Column) -> Column:
+    """Rounds the exact value of a double to one decimal, halves to even, as
+    ``%.1f`` prints it.  Ten times x is 8x + 2x, both exact; what their sum
+    loses says on which side of a half the exact product lies."""
+    a, b = x * 8.0, x * 2.0
+    t = a + b
+    lost = (a - (t - (t - a))) + (b - (t - a))
+    low = F.floor(t).cast("double")
+    half = (t - low) == 0.5
+    return F.when(half & (lost > 0), low + 1).when(half & (lost < 0), low).otherwise(F.rint(t)) / 10.0
 
 
 def run_status(ok: Column, failed: Column) -> Column:
@@ -65,7 +77,7 @@ def progress_points(items: DataFrame, run: str = "run_id", order: str = "ordinal
         (F.col("_okoff") + F.col("_k")).alias("ok_so_far"))
     return pos.filter((F.col("item") % every == 0) | (F.col("item") == F.col("total"))).select(
         run, F.col("item").cast("bigint").alias("item"), F.col("total").cast("bigint").alias("total"),
-        F.round(F.col("item") * 100.0 / F.col("total"), 1).alias("percent"),
+        one_decimal(F.col("item") * 100.0 / F.col("total")).alias("percent"),
         F.col("ok_so_far").cast("bigint").alias("successful"),
         (F.col("item") - F.col("ok_so_far")).cast("bigint").alias("failed"))
 
@@ -89,8 +101,8 @@ DEFAULT_TARGET = "https://www.amazonaws.cn/en/new/"
 
 
 def normalize_language(lang: Column) -> Column:
-    """S4: 'zh' or 'chinese' -> 'zh'; anything else -> 'en'."""
-    return F.when(F.lower(lang).isin("zh", "chinese"), "zh").otherwise("en")
+    """Exactly 'zh' or 'chinese' -> 'zh'; anything else -> 'en'."""
+    return F.when(lang.isin("zh", "chinese"), "zh").otherwise("en")
 
 
 def language_label(lang: Column) -> Column:

@@ -157,14 +157,28 @@ def month_filter(spark, sf_dir):
 
 @query
 def month_filter_events(spark, sf_dir):
-    """P3 on events with an invalid filter under ``on_invalid='pass'`` (P4):
-    the rows come back unfiltered, as the link filter of the reference does."""
+    """An invalid filter under ``on_invalid='pass'`` leaves the events as
+    they are."""
     from ..operators.filters import month_filter as mf
     from ..sources.tables import read_table
     events = read_table(spark, sf_dir, "events", "event_id", "ts", "event_type")
     return mf(events, "ts", "2024-1", on_invalid="pass")
 
 
+LOOSE_MONTHS = ["2001-3", "2001-13", "spring"]
+
+
+@query
+def month_filter_loose(spark, sf_dir):
+    """P4 with a month that only the loose form accepts, one that no calendar
+    has (no row) and one that is no month (all rows)."""
+    from ..operators.filters import month_filter_loose as mf
+    from ..sources.tables import read_table
+    orders = read_table(spark, sf_dir, "orders", "o_orderkey", "o_orderdate")
+    parts = [mf(orders, "o_orderdate", m).select(F.lit(m).alias("month"), "o_orderkey") for m in LOOSE_MONTHS]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 # -- runs, summaries ----------------------------------------------------------------
 def _items(spark, sf_dir):
     """Processed pages as run items: run = registrable domain of the page
@@ -217,7 +231,7 @@ def _content(spark, sf_dir):
 def csv_rows(spark, sf_dir):
     """CSV rows with the run's total joined on (a one-row side)."""
     from ..operators.render import csv_columns
-    total = read_pages(spark, sf_dir, spread_rows=False).select("page_id") \
+    total = read_pages(spark, sf_dir).select("page_id") \
         .agg(F.count(F.lit(1)).alias("total_processed")).withColumn("execution_time", F.lit(0.0))
     content, _ = split_results(_extracted(spark, sf_dir))
     return content.crossJoin(F.broadcast(total)).select("page_id", *csv_columns(True))
@@ -261,11 +275,11 @@ def detect_language(spark, sf_dir):
 
 @query
 def category_counts(spark, sf_dir):
-    """Documents per service category of their first 200 characters."""
+    """Documents per service category of their whole text."""
     from ..operators.summary import categorize
     from ..sources.tables import read_table
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
-    return docs.groupBy(categorize(F.substring("text", 1, 200)).alias("category")) \
+    return docs.groupBy(categorize(F.col("text")).alias("category")) \
         .agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -377,6 +391,97 @@ def listing_failures(spark, sf_dir):
     return failures
 
 
+@query
+def listing_class_links(spark, sf_dir):
+    """No heading; a list whose class speaks of news and that has three
+    links is the section."""
+    from ..operators.listing import harvest_links
+    o = _orders(spark, sf_dir, "o_orderkey")
+    item = [F.concat(F.lit(f'<li><a href="/en/new/{x}'), _k(), F.lit(f'/">{x.upper()} number '), _k(), F.lit("</a></li>"))
+            for x in "abc"]
+    html = F.concat(F.lit('<p><a href="/en/new/outside/">Outside</a></p><ul class="Latest-News">'), *item, F.lit("</ul>"))
+    pages = o.select(F.col("o_orderkey").alias("page_id"), F.lit(BASE).alias("url"), html.alias("html"))
+    links, _ = harvest_links(pages, base=BASE)
+    return links
+
+
+@query
+def listing_title_only(spark, sf_dir):
+    """L2d, L7: a page that names item titles but no item links is searched
+    whole; the link comes from the next key."""
+    from ..operators.listing import harvest_links
+    o = _orders(spark, sf_dir, "o_orderkey")
+    html = F.concat(F.lit('<script>{"data": {"items": [{"itemTitle":" T'), _k(), F.lit('","url":"/en/new/u'), _k(),
+                    F.lit('/"},{"itemTitle":"Again","linkURL":"/en/new/u'), _k(), F.lit('/"}]}}</script>'))
+    pages = o.select(F.col("o_orderkey").alias("page_id"), F.lit(BASE).alias("url"), html.alias("html"))
+    links, _ = harvest_links(pages, base=BASE)
+    return links
+
+
+# -- links and their pages (S2), derived from orders ---------------------------------
+def _announcements(orders):
+    """Announcement pages of orders: every fifth was never crawled, every
+    seventh twice (the second copy says something else)."""
+    k = _k()
+    url = F.concat(F.lit(BASE), k, F.lit("/"))
+    article = F.concat(
+        F.lit('<html><head><title>Site</title></head><body><a href="/menu">Menu</a><article><h1>Order number '), k,
+        F.lit("</h1><p>Customer <a href=\"/c/"), _k("o_custkey"), F.lit('">c'), _k("o_custkey"),
+        F.lit('</a> and <a href="#top">top</a> <a href="https://x.example/'), k,
+        F.lit('">out</a> placed this order with a text longer than fifty characters.</p></article></body></html>'))
+    there = orders.filter("o_orderkey % 5 != 0")
+    once = there.select((F.col("o_orderkey") * 2).alias("page_id"), url.alias("url"), article.alias("html"))
+    again = there.filter("o_orderkey % 7 = 0").select(
+        (F.col("o_orderkey") * 2 + 1).alias("page_id"), url.alias("url"),
+        F.concat(F.lit("<h1>Another title of "), k, F.lit("</h1>")).alias("html"))
+    return once.unionByName(again)
+
+
+@query
+def area_links(spark, sf_dir):
+    """E13, E14 in the content area: resolved links with their contexts."""
+    from ..operators.links import page_links
+    o = _orders(spark, sf_dir, "o_orderkey", "o_custkey")
+    pages = _announcements(o).filter("page_id % 2 = 0")
+    return page_links(pages, scope="area").select("page_id", "position", "text", "url", "context")
+
+
+@query
+def link_pages(spark, sf_dir):
+    """Two links per order (one with a date) joined to crawled pages;
+    missing pages are failures, of two copies the first counts."""
+    from ..operators.content import extract_links_pages
+    o = _orders(spark, sf_dir, "o_orderkey", "o_custkey", "o_orderdate")
+    url = F.concat(F.lit(BASE), _k(), F.lit("/"))
+    dated = o.select(F.col("o_orderkey").alias("page_id"), F.lit(1).alias("ordinal"), url.alias("url"),
+                     F.col("o_orderdate").cast("timestamp_ntz").alias("publication_date"))
+    plain = dated.withColumn("ordinal", F.lit(2)).withColumn("publication_date", F.lit(None).cast("timestamp_ntz"))
+    out = extract_links_pages(dated.unionByName(plain), _announcements(o))
+    return out.select("page_id", F.col("ordinal").cast("bigint").alias("ordinal"), "url", "title", "publication_date",
+                      F.size("embedded_links").cast("bigint").alias("n_links"), "error_message", "error_type")
+
+
+@query
+def full_run(spark, sf_dir):
+    """The whole run: listing links, month filter before extraction, pages,
+    first-wins dedup; one row per URL with its outcome."""
+    from ..operators.content import extract_links_pages
+    from ..operators.dedup import first_per_key
+    from ..operators.filters import month_filter_loose as mf
+    from ..operators.listing import harvest_links
+    o = _orders(spark, sf_dir, "o_orderkey", "o_custkey", "o_orderdate")
+    html = F.concat(F.lit('<script>{"data":{"items":[{"fields":{"itemTitle":"Order '), _k(),
+                    F.lit('","itemLink":"/en/new/'), _k(), F.lit('/","itemMetadataDate":"'),
+                    F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit('"}}]}}</script>'))
+    listings = o.select(F.col("o_orderkey").alias("page_id"), F.lit(BASE).alias("url"), html.alias("html"))
+    links, _ = harvest_links(listings, base=BASE)
+    # few links are left, and they are read twice: for the wanted URLs and the join
+    out = extract_links_pages(materialize(mf(links, "publication_date", MONTH)), _announcements(o))
+    rows = first_per_key(out.select("url", "page_id", "ordinal", "title", "publication_date", "error_message"),
+                         "url", ["page_id", "ordinal"])
+    return rows.select("url", "title", "publication_date", "error_message")
+
+
 # -- dates --------------------------------------------------------------------------
 # Forms of each order date rendered as text (Spark pattern, parses?).
 DATE_FORMS = [

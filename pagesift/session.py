@@ -63,12 +63,15 @@ def ship_package(spark: SparkSession) -> SparkSession:
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for cut lineage: ``spark.checkpoint.dir`` from the
-    session.  Only when the cluster names none (tests, a laptop) a scratch
-    folder is made and recorded in the session, so later calls agree."""
+    session.  Only a local master that names none (tests, a laptop) gets a
+    scratch folder, recorded in the session so later calls agree; on a cluster
+    a machine-local folder would lose data, so that is an error."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="pagesift-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)

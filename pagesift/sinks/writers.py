@@ -18,6 +18,7 @@ from ..functions.dates import iso_format, plain_datetime
 from ..operators.dedup import handle_duplicates
 from ..operators.ranking import positions
 from ..operators.render import announcement_struct, csv_columns, escape_html, html_card, txt_block
+from ..session import materialize
 
 FORMATS = ("json", "csv", "txt", "html")
 VERSION = "1.0.0"
@@ -29,6 +30,12 @@ def output_dir(base: str, run_ts: datetime, language: str = "en",
     return f"{base.rstrip('/')}/{template.format(timestamp=run_ts.strftime('%Y%m%d_%H%M%S'))}_{language}"
 
 
+def write_run(content: DataFrame, failures: DataFrame, base: str, run_ts: datetime,
+              language: str = "en", **settings) -> str:
+    """``write_results`` into the run's own folder under ``base`` (K7)."""
+    return write_results(content, failures, output_dir(base, run_ts, language), run_ts=run_ts, **settings)
+
+
 def summary_row(spark, total_processed: DataFrame | int, content: DataFrame, failures: DataFrame,
                 execution_time: float) -> DataFrame:
     """One-row summary (A1) from three counts."""
@@ -52,17 +59,23 @@ def write_results(content: DataFrame, failures: DataFrame, path: str, fmt: str =
                   duplicate_handling: str = "skip", include_metadata: bool = True,
                   total_processed: DataFrame | int | None = None, execution_time: float = 0.0,
                   run_ts: datetime | None = None, seen: DataFrame | None = None,
-                  order: list[str] | None = None) -> str:
+                  order: list[str] | None = None, timeout: int | None = None,
+                  max_retries: int | None = None, date_filter: str | None = None) -> str:
     """K0: apply the duplicate strategy and write ``content`` (and, with
-    metadata, summary / metadata / failures) under ``path`` in ``fmt``."""
+    metadata, summary / metadata / failures) under ``path`` in ``fmt``.
+
+    Both inputs are written once to the shared folder first, so the counts,
+    the summary and the output do not extract the pages again.  The total
+    (A1) counts what was processed, before duplicates are dropped."""
     if fmt not in FORMATS:
         raise ValueError(f"Unsupported output format: {fmt}")
     spark = content.sparkSession
     run_ts = run_ts or datetime(2026, 1, 1)
     order = order or ["page_id"]
-    content = handle_duplicates(content, duplicate_handling, order=order, seen=seen)
+    content, failures = materialize(content), materialize(failures)
     if total_processed is None:
         total_processed = content.count() + failures.count()
+    content = handle_duplicates(content, duplicate_handling, order=order, seen=seen)
     summary = summary_row(spark, total_processed, content, failures, execution_time)
 
     if fmt == "json":
@@ -84,7 +97,7 @@ def write_results(content: DataFrame, failures: DataFrame, path: str, fmt: str =
 
     if include_metadata:
         summary.coalesce(1).write.mode("overwrite").json(f"{path}/summary")
-        metadata_row(spark, run_ts, fmt, duplicate_handling).coalesce(1).write.mode("overwrite").json(
+        metadata_row(spark, run_ts, fmt, duplicate_handling, timeout, max_retries, date_filter).coalesce(1).write.mode("overwrite").json(
             f"{path}/metadata")
         fails = failures.select(
             "url", "error_message", "error_type", iso_format(F.col("timestamp")).alias("timestamp"))

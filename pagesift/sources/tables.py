@@ -14,21 +14,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> Da
     return df.select(*columns) if columns else df
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin the rows over the cluster when the scan gives fewer
-    partitions than there are cores (a small file of one row group is one
-    partition; the HTML parse would then run on one core).  At scale the scan
-    already yields thousands of splits and nothing is shuffled here."""
-    if df.isStreaming:
-        return df
-    spark = df.sparkSession
-    target = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
-
-
-def read_pages(spark: SparkSession, sf_dir: str, spread_rows: bool = True) -> DataFrame:
-    """``pages(page_id, url, html)``; each row one crawled page."""
+# Session setting: deal crawled pages over so many partitions after the read.
+# Unset (the default) the scan's own splits are kept and nothing is shuffled;
+# set it where the input is one small file of one row group.
+PAGE_PARTITIONS = "pagesift.pages.partitions"
+
+
+def read_pages(spark: SparkSession, sf_dir: str, partitions: int | None = None) -> DataFrame:
+    """``pages(page_id, url, html)``; each row one crawled page.  ``partitions``
+    (default: the session setting ``PAGE_PARTITIONS``) deals the rows out anew."""
     df = read_table(spark, sf_dir, "pages", "page_id", "url", "html")
-    return spread(df) if spread_rows else df
+    partitions = partitions or int(spark.conf.get(PAGE_PARTITIONS, "0"))
+    return df.repartition(partitions) if partitions else df

@@ -7,9 +7,9 @@
   ``withWatermark`` + ``dropDuplicatesWithinWatermark`` bounds that state.
 * T3: an idempotent sink via ``foreachBatch``: inside a batch the first row
   per URL wins (by the explicit order, not arrival), URLs stored by earlier
-  batches are removed with a left-anti join against the sink, and the batch
-  replaces only its own ``batch_id`` partition, so a replayed batch after a
-  failure writes the same rows again instead of duplicating them.
+  batches are removed with a left-anti join against a store of keys alone, and
+  the batch replaces only its own ``batch_id`` partition, so a replayed batch
+  after a failure writes the same rows again instead of duplicating them.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.dedup import first_per_key
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, materialize
 
 PAGES_SCHEMA = T.StructType([T.StructField("page_id", T.LongType()),
                              T.StructField("url", T.StringType()),
@@ -45,31 +45,43 @@ def dedup_state(stream: DataFrame, key: str = "url", event_time: str | None = No
     return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([key])
 
 
+KEY_BUCKETS = 256
+
+
 def skip_sink(path: str, key: str = "url", order: list[str] | None = None):
-    """A ``foreachBatch`` function writing first-seen rows to ``path``."""
+    """A ``foreachBatch`` function writing first-seen rows to ``path/rows``.
+
+    The keys stored so far lie apart from the rows, in ``path/keys``, by batch
+    and by a hash bucket of the key: a batch reads the two narrow columns of
+    the buckets its own keys fall in, not the rows.  Both tables are
+    partitioned by ``batch_id`` and a replayed batch replaces its own
+    partition, so it leaves the sink as it was."""
     order = order or ["page_id", "position"]
+    keys_path, rows_path = f"{path}/keys", f"{path}/rows"
 
     def write(batch: DataFrame, batch_id: int):
         spark = batch.sparkSession
-        firsts = first_per_key(batch, key, order)
-        try:
-            stored = spark.read.parquet(path).filter(F.col("batch_id") < batch_id).select(key)
-            firsts = firsts.join(stored.distinct(), key, "left_anti")
-        except Exception as e:  # nothing stored yet
-            if "PATH_NOT_FOUND" not in str(e) and "does not exist" not in str(e) \
-                    and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        (firsts.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("batch_id").parquet(path))
+        bucket = F.pmod(F.xxhash64(key), F.lit(KEY_BUCKETS)).cast("int")
+        firsts = first_per_key(batch, key, order).withColumn("bucket", bucket)
+        schema = T.StructType([batch.schema[key], T.StructField("batch_id", T.LongType()), T.StructField("bucket", T.IntegerType())])
+        if batch_id > 0:
+            stored = spark.read.schema(schema).parquet(keys_path).filter(F.col("batch_id") < batch_id)
+            firsts = firsts.join(stored.select("bucket", key), ["bucket", key], "left_anti")
+        firsts = materialize(firsts.withColumn("batch_id", F.lit(batch_id).cast("bigint")))
+        replace = {"partitionOverwriteMode": "dynamic"}
+        (firsts.drop("bucket").write.mode("overwrite").options(**replace).partitionBy("batch_id").parquet(rows_path))
+        # keys last: a batch that fails between the two is replayed and writes both again
+        (firsts.select(key, "batch_id", "bucket").write.mode("overwrite").options(**replace)
+         .partitionBy("batch_id", "bucket").parquet(keys_path))
     return write
 
 
-def run_available(stream: DataFrame, sink_fn, name: str | None = None) -> str:
-    """Run a ``foreachBatch`` stream over everything available now; the
-    stream's checkpoint lives in the shared checkpoint folder."""
+def run_available(stream: DataFrame, sink_fn, name: str) -> str:
+    """Run a ``foreachBatch`` stream over everything available now.  The
+    stream's checkpoint lies in the shared folder under ``name``: started again
+    with the same name, the stream goes on where it stopped."""
     spark = stream.sparkSession
-    ckpt = f"{checkpoint_dir(spark).rstrip('/')}/streams/{name or uuid.uuid4().hex}"
+    ckpt = f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}"
     q = (stream.writeStream.foreachBatch(sink_fn).option("checkpointLocation", ckpt)
          .trigger(availableNow=True).start())
     q.awaitTermination()
@@ -79,15 +91,17 @@ def run_available(stream: DataFrame, sink_fn, name: str | None = None) -> str:
 
 
 def stream_link_dedup(spark: SparkSession, directory: str, glob: str = "*.parquet",
-                      max_files_per_trigger: int | None = None) -> DataFrame:
-    """T1 + T2 + T3: pages streamed from files -> links -> first-seen URLs.
-    Returns the sink as a batch DataFrame."""
+                      max_files_per_trigger: int | None = None, name: str | None = None) -> DataFrame:
+    """T1 + T3: pages streamed from files -> links -> first-seen URLs.  Returns
+    the sink as a batch DataFrame.  ``name`` identifies the stream and its
+    sink; without one the run cannot be resumed."""
     from ..operators.links import page_links
+    name = name or uuid.uuid4().hex
     pages = read_page_stream(spark, directory, glob, max_files_per_trigger)
     links = page_links(pages, scope="document").select(
         "page_id", "position",
         F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*(.*)$", 1).alias("url"),
         F.col("text").alias("title"))
-    sink = f"{checkpoint_dir(spark).rstrip('/')}/sinks/{uuid.uuid4().hex}"
-    run_available(links, skip_sink(sink))
-    return spark.read.parquet(sink)
+    sink = f"{checkpoint_dir(spark).rstrip('/')}/sinks/{name}"
+    run_available(links, skip_sink(sink), name)
+    return spark.read.parquet(f"{sink}/rows")

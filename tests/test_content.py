@@ -76,3 +76,34 @@ def test_one_parse_per_page_in_plan(spark):
     from pagesift.plans import catalog
     plan = catalog.page_failures(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan
+
+
+def test_rejected_page_is_a_failure_row(spark):
+    page = "<article><h1>A long enough title</h1>" + LONG + "</article>"
+    _, failures = split_results(extract_content(pages_df(spark, [(1, "u1", page + "<![foo[x]]>"), (2, "u2", page)])))
+    rows = failures.collect()
+    assert [r.url for r in rows] == ["u1"] and rows[0].error_message.startswith("Content parsing failed: AssertionError: ")
+
+
+def test_extraction_is_evaluated_once(spark):
+    from pagesift.operators.content import TITLE_SELECTORS
+    content, failures = split_results(extract_content(pages_df(spark, [(1, "u", "<h1>x</h1>")])))
+    for half in (content.select("url", "title"), failures):
+        plan = half._jdf.queryExecution().executedPlan().toString()
+        assert plan.count(TITLE_SELECTORS[2][1:]) == 1 and plan.count("MapInArrow") == 1
+
+
+def test_links_meet_the_first_page_of_their_url(spark):
+    from datetime import datetime
+
+    from pagesift.operators.content import extract_links_pages
+    page = "<article><h1>Title of page {}</h1>" + LONG + "</article>"
+    pages = pages_df(spark, [(7, "u1", page.format(7)), (3, "u1", page.format(3)), (5, "u2", page.format(5)), (9, "u9", page)])
+    links = spark.createDataFrame([(1, i, "u1", None) for i in range(40)] + [(2, 1, "u2", datetime(2020, 1, 2)), (2, 2, "u3", None)],
+                                  "page_id long, ordinal int, url string, publication_date timestamp_ntz")
+    rows = extract_links_pages(links, pages).collect()
+    assert len(rows) == 42
+    assert {r.title for r in rows if r.url == "u1"} == {"Title of page 3"}
+    by = {r.url: r for r in rows}
+    assert by["u2"].publication_date == datetime(2020, 1, 2) and by["u2"].error_message is None
+    assert by["u3"].error_type == "PageNotFound" and by["u3"].title is None

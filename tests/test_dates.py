@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagesift.functions.dates import dates_in_text, parse_date_string, parse_month
-from pagesift.operators.filters import month_filter
+from pagesift.operators.filters import month_filter, month_filter_loose
 
 FX7 = [("2025-1-5", datetime(2025, 1, 5)), ("2025-12-06T01:02:03Z", datetime(2025, 12, 6, 1, 2, 3)),
        ("2025-12-06T01:02:03.5Z", datetime(2025, 12, 6, 1, 2, 3, 500000)),
@@ -42,6 +42,20 @@ def test_fx14_month_filter(spark):
     assert parse_month("2026-12") == (2026, 12)
 
 
+def test_month_forms():
+    assert parse_month("1999-01", year_bounds=False) == (1999, 1)
+    assert parse_month("") is None
+    with pytest.raises(ValueError):
+        parse_month("", required=True)
+
+
+def test_loose_month_filter(spark):
+    df = spark.createDataFrame([(datetime(2024, 1, 5),), (datetime(2024, 2, 5),), (None,)], "d timestamp_ntz")
+    for month, rows in [("2024-1", 1), ("2024-13", 0), ("1999-01", 0), ("2024-02", 1), ("2024", 3), ("a-b", 3), ("2024-1-5", 3),
+                        ("", 3), (None, 3), ("0-1", 0)]:
+        assert month_filter_loose(df, "d", month).count() == rows, month
+
+
 def test_month_bounds_pushed_to_parquet(spark):
     from conftest import SF
     from pagesift.plans import catalog

@@ -1,7 +1,12 @@
 import json
 import os
+import shutil
+import subprocess
+import sys
 
 from conftest import SF
+from pyspark.sql import functions as F
+
 from pagesift.plans import catalog
 
 
@@ -31,6 +36,82 @@ def test_write_results_all_formats(spark, tmp_path):
         write_results(content, failures, str(tmp_path / "x"), fmt="xml")
 
 
+def page_files(spark, folder, n=3):
+    """The smoke pages in ``n`` files, read one per micro-batch."""
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    for i in range(n):
+        pages.filter(F.col("page_id") % n == i).coalesce(1).write.parquet(f"{folder}/in{i}")
+        part = next(f for f in os.listdir(f"{folder}/in{i}") if f.endswith(".parquet"))
+        shutil.copy(f"{folder}/in{i}/{part}", f"{folder}/p{i}.parquet")
+
+
+def test_stream_of_several_batches_resumes_and_replays(spark, tmp_path):
+    from pagesift.streaming.stream import skip_sink, stream_link_dedup
+    page_files(spark, str(tmp_path))
+    name = f"t-{tmp_path.name}-{os.getpid()}"
+    rows = stream_link_dedup(spark, str(tmp_path), max_files_per_trigger=1, name=name)
+    got = rows.collect()
+    assert rows.select("batch_id").distinct().count() == 3
+    assert len({r.url for r in got}) == len(got) == catalog.dedup_skip(spark, SF).count()
+    again = stream_link_dedup(spark, str(tmp_path), max_files_per_trigger=1, name=name)   # nothing new
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, got))
+    sink = f"{tmp_path}/sink"
+    write = skip_sink(sink)
+    df = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 1, "a")], "page_id long, position long, url string")
+    write(df.filter("page_id = 1"), 0)
+    write(df, 1)
+    write(df.withColumn("url", F.concat("url", F.lit("x"))), 2)
+    before = sorted(map(tuple, spark.read.parquet(f"{sink}/rows").collect()))
+    write(df, 1)
+    write(df.withColumn("url", F.concat("url", F.lit("x"))), 2)
+    assert sorted(map(tuple, spark.read.parquet(f"{sink}/rows").collect())) == before
+    assert sorted(r[2] for r in before) == ["a", "ax", "b", "bx"]
+
+
+def test_content_on_a_stream_and_state(spark, tmp_path):
+    from pagesift.operators.content import extract_content
+    from pagesift.sources.tables import read_pages
+    from pagesift.streaming.stream import dedup_state, read_page_stream, run_available
+    page_files(spark, str(tmp_path), 2)
+    found = []
+    stream = extract_content(read_page_stream(spark, str(tmp_path), max_files_per_trigger=1)).select("page_id", "title")
+    run_available(stream, lambda b, i: found.extend(map(tuple, b.collect())), f"c-{tmp_path.name}-{os.getpid()}")
+    assert sorted(found) == sorted(map(tuple, extract_content(read_pages(spark, SF)).select("page_id", "title").collect()))
+    for event_time in (None, "ts"):
+        seen = []
+        stream = read_page_stream(spark, str(tmp_path), max_files_per_trigger=1).select(
+            F.pmod("page_id", F.lit(5)).alias("url"), F.lit("2024-01-01").cast("timestamp").alias("ts"))
+        run_available(dedup_state(stream, event_time=event_time), lambda b, i: seen.extend(r.url for r in b.collect()),
+                      f"d{event_time}-{tmp_path.name}-{os.getpid()}")
+        assert sorted(seen) == [0, 1, 2, 3, 4]
+
+
+def test_totals_settings_and_folder_of_a_run(spark, tmp_path):
+    from datetime import datetime
+
+    from pagesift.sinks.writers import write_run
+    content = spark.createDataFrame([(i, "u", f"title {i}", datetime(2025, 1, 1), "t" * 60, [], datetime(2026, 1, 1)) for i in range(3)],
+                                    "page_id long, url string, title string, publication_date timestamp_ntz, content_text string, "
+                                    "embedded_links array<struct<text:string,url:string,context:string>>, extraction_timestamp timestamp_ntz")
+    failures = content.limit(0).selectExpr("url", "title error_message", "title error_type", "publication_date timestamp")
+    out = write_run(content, failures, str(tmp_path), datetime(2026, 2, 3, 4, 5, 6), "zh", timeout=30, max_retries=3, date_filter="2025-01")
+    assert out.endswith("announcements_20260203_040506_zh")
+    row = spark.read.json(f"{out}/summary").first()
+    assert (row.total_processed, row.successful_extractions) == (3, 1)
+    meta = spark.read.json(f"{out}/metadata").first()
+    assert (meta.timeout, meta.max_retries, meta.date_filter) == (30, 3, "2025-01")
+
+
+def test_runs_from_another_folder(tmp_path):
+    code = ("import sys; sys.path.insert(0, sys.argv[1]); import __spark_entry__ as E; from pyspark.sql import SparkSession;"
+            "s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate();"
+            f"print('ROWS', E.queries()['page_title'](s, '{SF}').count())")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    said = subprocess.run([sys.executable, "-c", code, repo], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "ROWS " in said.stdout, said.stderr[-1500:]
+
+
 def test_contract(spark):
     import __spark_entry__ as E
     df = E.entry(spark)

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from pagesift.operators.filters import search
-from pagesift.operators.summary import first_failures, progress_points, run_summary
+from pagesift.operators.summary import first_failures, normalize_language, one_decimal, progress_points, run_summary
 
 
 def items(spark, n, bad):
@@ -33,3 +33,15 @@ def test_fx15_search(spark):
     assert [r.title for r in search(df, " S3 ").collect()] == ["New S3 class", "Other"]
     assert search(df, "").count() == 3
     assert [r.title for r in search(df, "class text").collect()] == ["New S3 class"]
+
+
+def test_one_decimal_prints_like_the_exact_value(spark):
+    pairs = [(k, n) for n in (1, 3, 7, 8, 16, 80, 400, 1000, 2000) for k in range(0, n + 1, max(1, n // 97))]
+    df = spark.createDataFrame(pairs, "k long, n long").withColumn("x", F.col("k") * 100.0 / F.col("n"))
+    for r in df.withColumn("r", one_decimal(F.col("x"))).collect():
+        assert r.r == float(f"{r.k * 100.0 / r.n:.1f}"), (r.k, r.n)
+
+
+def test_language_is_compared_exactly(spark):
+    df = spark.createDataFrame([("zh",), ("chinese",), ("ZH",), (None,)], "lang string")
+    assert [r[0] for r in df.select(normalize_language(F.col("lang"))).collect()] == ["zh", "zh", "en", "en"]
