@@ -61,3 +61,31 @@ def test_month_bounds_pushed_to_parquet(spark):
     from pagesift.plans import catalog
     plan = catalog.month_filter(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters" in plan and "GreaterThanOrEqual(o_orderdate" in plan and "LessThan(o_orderdate" in plan
+
+
+def test_forms_against_strptime(spark):
+    import random
+    formats = ["%Y-%m-%d", "%Y-%m-%dT%H:%M:%S", "%Y-%m-%dT%H:%M:%SZ", "%Y-%m-%dT%H:%M:%S.%fZ", "%m/%d/%Y", "%m-%d-%Y",
+               "%B %d, %Y", "%b %d, %Y", "%d %B %Y", "%d %b %Y"]
+    rng = random.Random(0)
+
+    def by_strptime(s):
+        for f in formats:
+            try:
+                return datetime.strptime(s, f)
+            except ValueError:
+                pass
+        return None
+    names = ["January", "feb", "MAY", "Sept", "september", "Dec", "Marc", "jun"]
+    texts = set()
+    for _ in range(1500):
+        y, m, d = rng.choice([0, 1, 999, 1999, 2024]), rng.randrange(0, 14), rng.randrange(0, 33)
+        h, n, x = rng.randrange(0, 26), rng.randrange(0, 62), rng.randrange(0, 60)
+        texts.add(rng.choice([
+            f"{y:04}-{m}-{d}", f"{y:04}-{m:02}-{d:02}T{h}:{n:02}:{x:02}", f"{y:04}-{m:02}-{d:02}T{h:02}:{n:02}:{x}Z",
+            f"{y:04}-{m:02}-{d:02}T{h:02}:{n:02}:{x:02}.{rng.randrange(0, 10 ** 7)}Z", f"{m}/{d:02}/{y:04}", f"{m:02}-{d}-{y:04}",
+            f"{rng.choice(names)} {d}, {y:04}", f"{d} {rng.choice(names)} {y:04}", f"{y}-{m}", f"{y:04}-{m:02}-{d:02}Z",
+            f"{y:04}-{m:02}-{d:02}T{h:02}:{n:02}:{x:02}+08:00", f"{rng.choice(names)} {d} {y:04}"]))
+    df = spark.createDataFrame([(t,) for t in sorted(texts)], "t string")
+    for r in df.select("t", parse_date_string(F.col("t")).alias("d")).collect():
+        assert r.d == by_strptime(r.t), r.t
