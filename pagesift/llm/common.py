@@ -16,13 +16,24 @@ from ..session import checkpoint_dir
 HOT_SHARE = 1000
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def stage(df: DataFrame, label: str, batch_rows: int | None = None) -> DataFrame:
     """Write an intermediate that is read more than once as Parquet in the
     shared folder (``spark.checkpoint.dir``) and read it back: the lineage is
-    cut, and a lost executor costs only the tasks that ran on it."""
+    cut, and a lost executor costs only the tasks that ran on it.
+    ``batch_rows`` bounds the Arrow batches of this write, for wide rows."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(ARROW_ROWS)
+    try:
+        if batch_rows:
+            spark.conf.set(ARROW_ROWS, batch_rows)
+        df.write.parquet(path)
+    finally:
+        if batch_rows:
+            spark.conf.set(ARROW_ROWS, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

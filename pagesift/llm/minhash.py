@@ -13,11 +13,11 @@ weighted samples (Ioffe's scheme); equal bands make a bucket.
 In every bucket each member is paired with three of them (smallest, largest and
 middle by hash), and pairs are verified on whole texts.  Connected components
 of the verified links follow.  That loses links only inside buckets whose
-members still lie in different components; there every pair of members of
-different components is compared (the samples agree on at least
-``LEAST_AGREEING`` of them, else the similarity cannot be 0.8) and verified.
-So pairs within a component are never enumerated, and no link between texts
-that share a bucket is lost.  Two texts of similarity 0.8 share no bucket with
+members still lie in different components; their members are dealt into blocks
+of ``BLOCK``, and every pair of blocks is compared as a whole (exact
+similarities by a product of matrices), which returns one link for any two
+components that have one.  So pairs are never enumerated as rows, and no link
+between texts that share a bucket is lost.  Two texts of similarity 0.8 share no bucket with
 a probability of (1 - 0.8^3)^16, one in 100,000.
 
 Equal texts are one node, so a text that a third of all rows repeat costs one
@@ -49,7 +49,7 @@ from .shingles import mix, shingle_sets
 THRESHOLD = 0.8
 BANDS, ROWS = 16, 3
 SAMPLES = BANDS * ROWS
-LEAST_AGREEING = 24       # of 48; fewer have a chance of 1e-6 at similarity 0.8
+BLOCK = 128               # members of a bucket that are compared as one block
 CELLS = 1 << 20
 CELL_BLOCK = 1024
 TABLE = 4096              # entries of the tables of random variates
@@ -157,7 +157,7 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[np.ndarra
 
 
 def _sketches(docs: DataFrame, shared) -> DataFrame:
-    """(sha, bands, samples) of every row; bands is null for texts without words."""
+    """(sha, bands) of every row."""
     def run(batches):
         for b in slices(batches, "text"):
             sets = shingle_sets(texts_of(b))
@@ -167,17 +167,14 @@ def _sketches(docs: DataFrame, shared) -> DataFrame:
             for j in range(ROWS):
                 bands = mix(bands * np.uint64(31) + samples[:, j::ROWS] + np.uint64(j))
             bands = mix(bands + np.arange(BANDS, dtype=np.uint64)[None, :])
-            rows, small = [None] * len(sets), [None] * len(sets)
+            rows = [[0]] * len(sets)               # texts without words meet in one bucket
             for k, i in enumerate(full):
-                rows[i], small[i] = bands[k].view(np.int64).tolist(), (samples[k] >> np.uint64(48)).astype("<u2").tobytes()
-            for i, s in enumerate(sets):
-                if not len(s[0]):              # all texts without words meet in one bucket
-                    rows[i], small[i] = [0], bytes(2 * SAMPLES)
+                rows[i] = bands[k].view(np.int64).tolist()
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(rows, pa.list_(pa.int64())), pa.array(small, pa.binary())], ["sha", "bands", "samples"])
+                [b.column(0), pa.array(rows, pa.list_(pa.int64()))], ["sha", "bands"])
 
     return docs.select(_sha(F.col("text")).alias("sha"), "text").mapInArrow(
-        run, "sha string, bands array<bigint>, samples binary")
+        run, "sha string, bands array<bigint>")
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, shared) -> DataFrame:
@@ -221,33 +218,84 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return stage(one.join(wanted, "sha").select("uid", "text"), "texts")
 
 
-def _cross_pairs(members: DataFrame, root: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Pairs of members of one bucket that lie in different components and
-    whose samples agree often enough: all of them, without any pair inside a
-    component."""
-    known = members.join(root, members.uid == root.node, "left").select(
-        "bucket", "uid", F.coalesce("root", "uid").alias("root"))
-    known = stage(known, "rooted")
-    sizes = known.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
-    mixed = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.max_by("root", F.struct("n", "root")).alias("main"))
-    mixed = stage(mixed.filter("k > 1").drop("k"), "mixed")
-    few = stage(known.join(mixed, "bucket").join(sketches.select("uid", "samples"), "uid"), "few")
-    left = few.filter("root != main").select("bucket", F.col("uid").alias("a"), F.col("root").alias("ra"),
-                                             F.col("samples").alias("sa"))
-    right = few.select("bucket", F.col("uid").alias("b"), F.col("root").alias("rb"), F.col("samples").alias("sb"),
-                       (F.col("root") == F.col("main")).alias("inner"))
-    pairs = left.join(right, "bucket").filter("ra != rb AND (inner OR a < b)").select("a", "b", "sa", "sb")
+def _split_buckets(members: DataFrame, root: DataFrame) -> DataFrame:
+    """(bucket, uid, root, block, blocks) of the members of buckets of four or
+    more (in smaller ones the stars are all pairs) that hold more than one
+    component; of buckets with the same members one is enough."""
+    known = stage(members.join(root, members.uid == root.node, "left").select(
+        "bucket", "uid", F.coalesce("root", "uid").alias("root")), "rooted")
+    buckets = known.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"),
+        F.bit_xor(F.xxhash64("uid")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "uid")).alias("y"))
+    buckets = buckets.filter("n > 3 AND low < high").groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket"))
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    return (known.join(buckets.select("bucket", blocks.alias("blocks")), "bucket")
+            .withColumn("block", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int")))
+
+
+def block_links(rows: list[dict], other: list[dict], idf: np.ndarray) -> list[tuple[int, int]]:
+    """Links between members of different components: among ``rows``, or of
+    ``rows`` with ``other``.  All similarities of the block come from one
+    product of matrices; of the links between two components one is returned."""
+    both = rows + other
+    sets = shingle_sets([r["text"] or "" for r in both])
+    # a shingle that occurs k times is k columns, so the sum of minima is a product
+    lens = [int(c.sum()) for _, c in sets]
+    hashes = np.concatenate([np.repeat(h, c) for h, c in sets])
+    nth = np.concatenate([np.arange(n) - np.repeat(np.cumsum(c) - c, c) for (_, c), n in zip(sets, lens)]).astype(np.uint64)
+    owner = np.repeat(np.arange(len(both)), lens)
+    weight = idf[(hashes >> np.uint64(44)).astype(np.int64)]
+    total = np.bincount(owner, weight, len(both))
+    _, column, times = np.unique(mix(hashes + nth * np.uint64(0x9E3779B97F4A7C15)), return_inverse=True, return_counts=True)
+    shared = times[column] > 1
+    column, owner, weight = column[shared], owner[shared], weight[shared]
+    order = np.argsort(column, kind="stable")
+    column, owner, weight = column[order], owner[order], weight[order]
+    column = np.cumsum(np.concatenate(([0], np.diff(column) > 0))) if len(column) else column
+    n, m = len(rows), len(other)
+    inter = np.zeros((n, m or n))
+    width = int(column[-1]) + 1 if len(column) else 0
+    for low in range(0, width, 4096):
+        x, y = np.searchsorted(column, [low, low + 4096])
+        dense = np.zeros((n + m, min(4096, width - low)))
+        dense[owner[x:y], column[x:y] - low] = 1.0
+        by_column = np.zeros(dense.shape[1])
+        by_column[column[x:y] - low] = weight[x:y]
+        inter += (dense[:n] * by_column) @ (dense[n:] if m else dense).T
+    left, right = total[:n, None], (total[n:] if m else total)[None, :]
+    alike = inter >= THRESHOLD * (left + right - inter)
+    roots = np.array([r["root"] for r in both])
+    pairs = np.argwhere(alike & (roots[:n, None] != (roots[n:] if m else roots)[None, :]))
+    found = {}
+    for i, j in pairs.tolist():
+        a, b = rows[i], (other if m else rows)[j]
+        found.setdefault((min(a["root"], b["root"]), max(a["root"], b["root"])), (a["uid"], b["uid"]))
+    return list(found.values())
+
+
+def _links_across(split: DataFrame, texts: DataFrame, shared) -> DataFrame:
+    """Links between different components inside the buckets: members are dealt
+    into blocks of bounded size, and every pair of blocks is one row, compared
+    as a whole; only links come out."""
+    rows = split.join(texts, "uid")
+    packed = stage(rows.groupBy("bucket", "block", "blocks").agg(
+        F.collect_list(F.struct("uid", "root", "text")).alias("rows")), "packed")
+    many = packed.filter("blocks > 1")
+    left = many.select("bucket", F.col("block").alias("i"), F.expr("explode(sequence(0, blocks - 1))").alias("j"), "rows").filter("i < j")
+    right = many.select("bucket", F.col("block").alias("j"), F.expr("explode(sequence(0, blocks - 1))").alias("i"),
+                        F.col("rows").alias("other")).filter("i < j")
+    apart = left.join(right, ["bucket", "i", "j"]).select("rows", "other")
+    alone = packed.filter(F.size("rows") > 1).select("rows", F.expr("slice(rows, 1, 0)").alias("other"))
 
     def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(-1, SAMPLES) for i in (2, 3))
-            ok = pa.array((x == y).sum(axis=1) >= LEAST_AGREEING)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["a", "b"])
+        for b in batches:
+            for i in range(b.num_rows):
+                found = block_links(b.column(0)[i].as_py(), b.column(1)[i].as_py(), shared.value)
+                if found:
+                    u, v = zip(*found)
+                    yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-    return stage(pairs.mapInArrow(run, "a bigint, b bigint").select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cross")
+    return stage(alone.unionByName(apart).mapInArrow(run, "u bigint, v bigint"), "across", batch_rows=16)
 
 
 def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -270,10 +318,10 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = _texts_of(docs, stage(rows.select("uid", "sha").join(members.select("uid").distinct(), "uid", "left_semi"), "wanted"))
     links = _verify(pairs, texts, shared)
     root = stage(components(links), "roots")
-    cross = _cross_pairs(members, root, rows)
-    if not cross.isEmpty():
-        more = _verify(cross, texts, shared)
-        root = stage(components(links.unionByName(more)), "roots")
+    across = _links_across(_split_buckets(members, root), texts, shared)
+    if not across.isEmpty():
+        known = root.select(F.col("node").alias("u"), F.col("root").alias("v"))
+        root = stage(components(known.unionByName(across)), "roots")
     return rows.select("uid", "sha"), root
 
 
