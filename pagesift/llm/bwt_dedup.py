@@ -128,11 +128,6 @@ def count_anchors(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1")
 
 
-def _places(h):
-    """Block number source and bit places of a hash, on columns or arrays."""
-    return [h & 32767, (h >> 15) & 32767, (h >> 25) & 32767]
-
-
 def anchor_filter(repeated: DataFrame) -> tuple[np.ndarray, int]:
     """Blocked Bloom filter of the repeated hashes, at most 64 MB."""
     n_blocks = max(1, min(MAX_BLOCKS, -(-repeated.count() * BITS_PER_ROW // BITS)))

@@ -1,5 +1,4 @@
 import numpy as np
-import pytest
 
 from pagesift.llm import ann_tree as A
 

@@ -3,7 +3,6 @@ import random
 from collections import defaultdict
 
 import numpy as np
-import pyarrow as pa
 
 from pagesift.llm import minhash as M
 from pagesift.llm import shingles as S

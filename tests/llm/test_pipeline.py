@@ -1,5 +1,3 @@
-import hashlib
-
 import public_tokenizers
 import sentencepiece
 
