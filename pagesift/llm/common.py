@@ -64,7 +64,7 @@ def lookup_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return a.unionByName(b)
 
 
-def slices(batches, column: str, max_bytes: int = 4 << 20):
+def slices(batches, column: str, max_bytes: int = 1 << 20):
     """Cut Arrow batches into pieces whose ``column`` (string or binary) holds
     about ``max_bytes`` each (one longer value stays whole), so a task's
     working set follows bytes, not rows."""

@@ -26,7 +26,6 @@ of a row are never inputs of its prediction.
 
 from __future__ import annotations
 
-import functools
 import itertools
 import re
 
@@ -38,13 +37,13 @@ from pyspark.sql import functions as F
 from .common import slices, texts_of
 
 DIMENSION = 1 << 18
-ROWS_PER_LANGUAGE = 400
+ROWS_PER_LANGUAGE = 250
 EPOCHS, BATCH, PIECE = 3, 256, 20      # sequences of three pieces of up to 2 * PIECE words
 RATE, DECAY = 0.3, 1e-6
 CHUNK = 64
 RESCALE = 8               # steps between rescalings; emissions are cut at exp(-MOST)
 MOST = 60.0
-WORD_CACHE = 300_000
+WORD_CACHE = 150_000
 UNKNOWN = "und"
 WORDS = re.compile(r"[^\W\d_]+")
 
@@ -172,13 +171,13 @@ def marginals(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray)
 def fit(texts: list[str], langs: list[str], seed: int = 5) -> dict | None:
     """Weights and transitions from labelled texts; None without any words."""
     labels = sorted(set(langs))
-    seqs = [(words_of(t), labels.index(g)) for t, g in zip(texts, langs)]
-    seqs = [(w, y) for w, y in seqs if w]
-    if not seqs:
-        return None
     vocabulary: dict[str, int] = {}
-    flat = np.array([vocabulary.setdefault(w, len(vocabulary)) for ws, _ in seqs for w in ws], np.int64)
-    gold = np.repeat([y for _, y in seqs], [len(ws) for ws, _ in seqs])
+    seqs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)], np.int64) for t in texts]
+    sizes = np.array([len(x) for x in seqs], np.int64)
+    if not sizes.sum():
+        return None
+    flat = np.concatenate(seqs)
+    gold = np.repeat([labels.index(g) for g in langs], sizes)
     number, offset = features(list(vocabulary))
     k = len(labels)
     rng = np.random.default_rng(seed)
@@ -188,7 +187,7 @@ def fit(texts: list[str], langs: list[str], seed: int = 5) -> dict | None:
         # cut all words into pieces of random length and string three together
         cuts = np.concatenate(([0], np.cumsum(rng.integers(5, 2 * PIECE + 1, size=len(flat) // 5 + 1))))
         cuts = np.append(cuts[cuts < len(flat)], len(flat))
-        ends = np.cumsum([len(ws) for ws, _ in seqs])
+        ends = np.cumsum(sizes)
         cuts = np.unique(np.concatenate((cuts, ends)))
         order = rng.permutation(len(cuts) - 1)
         for b in range(0, len(order), 3 * BATCH):
@@ -284,11 +283,6 @@ class Tagger:
         return langs, scores
 
 
-@functools.lru_cache(maxsize=2)
-def _tagger(shared) -> Tagger:
-    return Tagger(shared.value)
-
-
 def sample(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE) -> DataFrame:
     """The bounded training sample: ``rows`` rows of each language, whole texts."""
     keys = docs.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select(
@@ -306,12 +300,10 @@ def predict(docs: DataFrame, train: DataFrame | None = None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for b in slices(batches, "text", 2 << 20):
+        tagger = Tagger(shared.value) if shared.value else None     # its words go with the task
+        for b in slices(batches, "text"):
             texts = texts_of(b)
-            if shared.value is None:
-                langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-            else:
-                langs, scores = _tagger(shared).predict(texts)
+            langs, scores = tagger.predict(texts) if tagger else ([UNKNOWN] * len(texts), [0.0] * len(texts))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
                 ["doc_id", "held_out", "lang_pred", "score"])
@@ -330,10 +322,9 @@ def keep_known(docs: DataFrame, train: DataFrame, min_score: float = 0.35) -> Da
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for b in slices(batches, "text", 2 << 20):
-            if shared.value is None:
-                continue
-            langs, scores = _tagger(shared).predict(texts_of(b))
+        tagger = Tagger(shared.value) if shared.value else None
+        for b in slices(batches, "text") if tagger else ():
+            langs, scores = tagger.predict(texts_of(b))
             ok = pa.array([g != UNKNOWN and s >= min_score for g, s in zip(langs, scores)], pa.bool_())
             yield b.filter(ok)
 

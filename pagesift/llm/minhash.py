@@ -193,7 +193,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, shared) -> DataFrame:
 
     def run(batches):
         last, hub = None, None
-        for batch in slices(batches, "text_b", 2 << 20):
+        for batch in slices(batches, "text_b"):
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             ta, tb = batch.column(2).to_pylist(), shingle_sets(texts_of(batch, "text_b"))
             found = []
@@ -205,7 +205,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, shared) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()),
                                               pa.array([b[i] for i in keep], pa.int64())], ["u", "v"])
 
-    return stage(rows.mapInArrow(run, "u bigint, v bigint"), "links")
+    return stage(rows.mapInArrow(run, "u bigint, v bigint"), "links", batch_rows=1000)
 
 
 def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -295,7 +295,7 @@ def _links_across(split: DataFrame, texts: DataFrame, shared) -> DataFrame:
                     u, v = zip(*found)
                     yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-    return stage(alone.unionByName(apart).mapInArrow(run, "u bigint, v bigint"), "across", batch_rows=16)
+    return stage(alone.unionByName(apart).mapInArrow(run, "u bigint, v bigint"), "across", batch_rows=8)
 
 
 def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -35,7 +35,7 @@ from .common import slices, texts_of
 
 MARK = "▁"
 NONE = np.int64(1) << 40
-WORD_CACHE = 400_000      # distinct words a worker remembers; a full cache starts anew
+WORD_CACHE = 200_000      # distinct words a worker remembers; a full cache starts anew
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 
 
