@@ -65,7 +65,7 @@ def test_stream_of_several_batches_resumes_and_replays(spark, tmp_path):
     write(df, 1)
     write(df.withColumn("url", F.concat("url", F.lit("x"))), 2)
     assert sorted(map(tuple, spark.read.parquet(f"{sink}/rows").collect())) == before
-    assert sorted(r[2] for r in before) == ["a", "ax", "b", "bx"]
+    assert sorted(r.url for r in spark.read.parquet(f"{sink}/rows").collect()) == ["a", "ax", "b", "bx"]
 
 
 def test_content_on_a_stream_and_state(spark, tmp_path):
