@@ -279,7 +279,7 @@ def _fence() -> Column:
     Without it a filter on ``error_message`` would move below the projections
     and evaluate the whole extraction a second time; a reader that does not
     filter by it never computes it."""
-    return F.monotonically_increasing_id().alias(FENCE)
+    return F.rand(0).alias(FENCE)
 
 
 def split_results(extracted: DataFrame):
