@@ -54,3 +54,23 @@ def test_frame(odd, none, spark):
     plain = S.scan(spark.createDataFrame([(1, t)], "doc_id long, text string"), PATH, P.PATTERN).first()
     assert [(s.kind, s.start, s.stop) for s in plain.spans] == [("assign", 2, 19), ("hex", 20, 60)]
     assert S.scan(none, PATH, P.PATTERN).collect() == []
+
+
+def test_words_beside_a_random_string_do_not_hide_it():
+    rng = random.Random(7)
+    for before, n, after in [("/services/notifications/production/webhooks/", 24, ""), ("client_credentials_value=", 24, ""),
+                             ("/download/reports/annual/statement/", 32, "/production/documents/overview")]:
+        caught = 0
+        for _ in range(100):
+            r = "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(n))
+            spans = [x for k, x in found(f"see {before}{r}{after} now") if k == "random"]
+            caught += len(spans) == 1 and spans[0].endswith(r)     # the part, or the run where it is low as a whole
+        assert caught >= 95, (before, caught)
+    caught = 0
+    for _ in range(100):                                    # separators inside the random string
+        r = "".join(rng.choice(string.ascii_letters + string.digits + "/_-") for _ in range(40))
+        caught += any(k == "random" and len(x) >= 20 for k, x in found(f"see /services/notifications/production/webhooks/documents/{r} now"))
+    assert caught >= 90, caught
+    for plain in ["/news/2024/01/15/announcement-of-the-annual-report/", "/items/550e8400-e29b-41d4-a716-446655440000/documents/overview",
+                  "/archive/pictures/2019/05/12/20190512_123456-1200/holiday-pictures-from-the-mountains"]:
+        assert [x for x in found(f"id {plain} end") if x[0] == "random"] == []
