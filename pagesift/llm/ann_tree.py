@@ -7,7 +7,9 @@ a priority queue holds the nodes seen but not entered, ordered by the cosine
 of the query to their centres, and gives up leaf after leaf.  How many leaves
 a query visits is calibrated: for ``CALIBRATION`` queries the exact neighbours
 are found by brute force over all rows, and the number of visits is doubled,
-then narrowed, until their recall in the visited leaves reaches the target.
+then narrowed, until their recall in the visited leaves reaches the target; the
+query's own entry does not count.  A query goes on beyond these visits until
+its leaves hold ``k`` + 1 entries, so it finds ``k`` rows wherever there are so many.
 
 Equal vectors are indexed once with their smallest ids (``k`` + 1 of them
 suffice for any answer), so a vector that a third of all rows repeat is one
@@ -91,10 +93,11 @@ class Tree:
             todo += [(kid, rows[best == j]) for j, kid in enumerate(kids)]
         return out
 
-    def best_bins(self, q: np.ndarray, visits: int) -> list[int]:
-        """The first ``visits`` leaves of a best-bin-first walk."""
-        found, queue = [], [(0.0, 0)]
-        while queue and len(found) < visits:
+    def best_bins(self, q: np.ndarray, visits: int, sizes: dict[int, int] | None = None, least: int = 0) -> list[int]:
+        """The first ``visits`` leaves of a best-bin-first walk, and more until
+        they hold ``least`` entries by ``sizes`` (entries of each leaf)."""
+        found, held, queue = [], 0, [(0.0, 0)]
+        while queue and (len(found) < visits or held < least):
             _, node = heapq.heappop(queue)
             while self.children[node]:         # down to a leaf; the other children wait
                 kids = self.children[node]
@@ -105,6 +108,7 @@ class Tree:
                         heapq.heappush(queue, (-float(near[j]), kid))
                 node = kids[best]
             found.append(node)
+            held += sizes.get(node, 0) if sizes else 0
         return found
 
 
@@ -164,11 +168,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, recall: float = 0
     index = stage(entries.select("embedding", "gid", "ids").mapInArrow(
         to_leaf, f"leaf int, embedding {kind}, gid bigint, ids array<bigint>"), "index")
     visits = calibrate(index, query_rows, shared, keep, recall)
+    # one number per leaf, and the leaves are bounded by the sample
+    sizes = spark.sparkContext.broadcast({r.leaf: r["count"] for r in index.groupBy("leaf").count().collect()})
 
     def to_bins(batches):
         for b in batches:
             q = _unit(_matrix(b.column(0)))
-            bins = [shared.value.best_bins(v, visits) for v in q]
+            bins = [shared.value.best_bins(v, visits, sizes.value, keep) for v in q]
             size = np.array([len(x) for x in bins])
             at = pa.array(np.repeat(np.arange(len(bins)), size))
             yield pa.RecordBatch.from_arrays(
@@ -251,11 +257,15 @@ def exact(index: DataFrame, queries: np.ndarray, keep: int) -> DataFrame:
 def calibrate(index: DataFrame, query_rows: DataFrame, shared, keep: int, recall: float) -> int:
     """Leaf visits at which the calibration queries find ``recall`` of their
     true neighbours: doubled until it is reached, then narrowed by halving."""
-    some = query_rows.orderBy(F.xxhash64("embedding")).limit(CALIBRATION).select("embedding").toPandas()["embedding"]
+    some = query_rows.orderBy(F.xxhash64("embedding")).limit(CALIBRATION).select("embedding", "gid").toPandas()
+    own, some = some["gid"].tolist(), some["embedding"]
     if not len(some):
         return 1
     q = _unit(np.array([np.asarray(v, np.float64) for v in some]))
-    truth = exact(index, q, keep).select("q", "leaf").collect()       # CALIBRATION x keep rows
+    truth = exact(index, q, keep).select("q", "gid", "leaf").collect()       # CALIBRATION x keep rows
+    truth = [r for r in truth if r.gid != own[r.q]]
+    if not truth:
+        return 1
     tree = shared.value
     place = [{leaf: i for i, leaf in enumerate(tree.best_bins(v, len(tree.leaves)))} for v in q]
     depth = np.array([place[r.q][r.leaf] for r in truth])

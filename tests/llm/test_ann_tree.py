@@ -83,3 +83,26 @@ def test_walk_visits_every_leaf_once():
     assert sorted(order) == sorted(tree.leaves) and len(order) > 30
     assert order[0] == tree.leaf_of(x[3:4])[0]
     assert tree.best_bins(x[3], 4) == order[:4]
+
+
+def test_an_outlier_among_small_leaves_gets_all_its_rows(spark, monkeypatch):
+    monkeypatch.setattr(A, "LEAF_ROWS", 4)
+    monkeypatch.setattr(A, "MIN_SAMPLE_LEAF", 1)
+    monkeypatch.setattr(A, "calibrate", lambda *a: 1)           # few visits suffice for the others
+    rng = np.random.default_rng(4)
+    centres = np.abs(rng.normal(size=(20, 8)))
+    rows = [(i, centres[i % 20] + 0.01 * rng.normal(size=8)) for i in range(300)]
+    rows += [(1000, -centres[0]), (1050, -centres[1] * [1, 1, 1, 1, 0, 0, 0, 0])]
+    df = frame(spark, rows)
+    got = A.search(df, df.filter("vec_id % 50 = 0")).collect()
+    count = {q: sum(r.query_id == q for r in got) for q in [0, 50, 100, 150, 200, 250, 1000, 1050]}
+    assert set(count.values()) == {5}, count
+
+
+def test_calibration_leaves_the_query_out(spark):
+    x = np.eye(4)
+    tree = A.Tree(x, 1)
+    df = spark.createDataFrame([(int(leaf), [float(v) for v in row], i) for i, (leaf, row) in enumerate(zip(tree.leaf_of(x), x))],
+                               "leaf int, embedding array<double>, gid long")
+    shared = spark.sparkContext.broadcast(tree)
+    assert A.calibrate(df, df.select("gid", "embedding"), shared, 2, 0.5) > 1      # a query finds itself in its first leaf
