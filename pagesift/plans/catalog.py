@@ -442,8 +442,7 @@ def area_links(spark, sf_dir):
     """E13, E14 in the content area: resolved links with their contexts."""
     from ..operators.links import page_links
     o = _orders(spark, sf_dir, "o_orderkey", "o_custkey")
-    pages = _announcements(o).filter("page_id % 2 = 0")
-    return page_links(pages, scope="area").select("page_id", "position", "text", "url", "context")
+    return page_links(_announcements(o), scope="area").select("page_id", "position", "text", "url", "context")
 
 
 @query
