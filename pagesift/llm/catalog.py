@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann_tree, bwt_dedup, exact_dedup, html_diff, language_id, minhash, mixing, secrets_scan, sentencepiece_bpe, suffix_tree_lm
+from . import ann_tree, bwt_dedup, exact_dedup, html_diff, language_id, minhash, mixing, periodic_runs, secrets_scan, sentencepiece_bpe, suffix_tree_lm
 from .common import table
 
 QUERIES = {}
@@ -83,3 +83,9 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bwt_dedup.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return periodic_runs.detect(docs, plant=True, digests=True)
