@@ -28,7 +28,9 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import zlib
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -39,56 +41,91 @@ from .common import slices, texts_of
 FIRST = 8              # words of a block at the first scale
 LEAST = 24             # words of the shortest run: three blocks of the first scale
 TIMES = 3              # periods of the shortest run
-CELLS = 1 << 17        # numbers of one block of transforms
+CELLS = 1 << 14        # numbers of one block of transforms
 FERMAT = 65537         # transforms up to 2^16 points, generator 3
+RADIX = 64             # points of one step: 64 products of residues are exact in a double
 WIDE = 998244353       # 119 * 2^23 + 1: transforms up to 2^23 points, generator 3
 
 
-def _fold(x: np.ndarray, p: int) -> np.ndarray:
-    """x modulo p; for the Fermat prime only nearly (2^16 = -1), which saves
-    the division: magnitudes at most double from level to level."""
-    return (x & 0xFFFF) - (x >> 16) if p == FERMAT else x % p
+def _near(x: np.ndarray) -> np.ndarray:
+    """Exact integers in doubles, modulo the Fermat prime, up to one prime to either side."""
+    q = np.floor(x * (1.0 / FERMAT))
+    q *= FERMAT
+    x -= q
+    return x
 
 
 @functools.lru_cache(maxsize=64)
-def _roots(h: int, p: int, inverse: bool) -> np.ndarray:
+def _powers(rows: int, columns: int, n: int, inverse: bool) -> np.ndarray:
+    """root^(j*k) for a primitive root of order n, as doubles."""
+    root = pow(3, (FERMAT - 1) // n, FERMAT)
+    if inverse:
+        root = pow(root, FERMAT - 2, FERMAT)
+    line = np.ones(1, np.int64)
+    while len(line) < n:
+        line = np.concatenate([line, line * pow(root, len(line), FERMAT) % FERMAT])
+    return line[np.arange(rows)[:, None] * np.arange(columns) % n].astype(float)
+
+
+def _forward(a: np.ndarray) -> np.ndarray:
+    """Transform of the last axis modulo the Fermat prime by matrix products
+    of at most ``RADIX`` points, in the order of the steps."""
+    n = a.shape[-1]
+    if n <= RADIX:
+        return _near(a @ _powers(n, n, n, False))
+    x = a.reshape(*a.shape[:-1], RADIX, n // RADIX)
+    x = _near(np.matmul(_powers(RADIX, RADIX, RADIX, False), x))
+    x *= _powers(RADIX, n // RADIX, n, False)
+    return _forward(_near(x)).reshape(a.shape)
+
+
+def _backward(a: np.ndarray) -> np.ndarray:
+    """``_forward`` undone, but for the factor n."""
+    n = a.shape[-1]
+    if n <= RADIX:
+        return _near(a @ _powers(n, n, n, True))
+    x = _backward(a.reshape(*a.shape[:-1], RADIX, n // RADIX))
+    x *= _powers(RADIX, n // RADIX, n, True)
+    return _near(np.matmul(_powers(RADIX, RADIX, RADIX, True), _near(x))).reshape(a.shape)
+
+
+def _cyclic(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cyclic convolutions of the rows, modulo the Fermat prime."""
+    n = a.shape[1]
+    product = _backward(_near(_forward(a) * _forward(b)))
+    product *= pow(n, FERMAT - 2, FERMAT)
+    return _near(product)
+
+
+@functools.lru_cache(maxsize=64)
+def _wide_roots(h: int, inverse: bool) -> np.ndarray:
     """Powers 0 .. h-1 of a primitive root of order 2h (or of its inverse)."""
-    root = pow(3, (p - 1) // (2 * h), p)
+    root = pow(3, (WIDE - 1) // (2 * h), WIDE)
     if inverse:
-        root = pow(root, p - 2, p)
+        root = pow(root, WIDE - 2, WIDE)
     out = np.ones(1, np.int64)
     while len(out) < h:
-        out = np.concatenate([out, out * pow(root, len(out), p) % p])
+        out = np.concatenate([out, out * pow(root, len(out), WIDE) % WIDE])
     return out
 
 
-def _forward(a: np.ndarray, p: int) -> np.ndarray:
-    """Transform of every row, result in bit-reversed order, fully reduced."""
+def _wide_cyclic(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The same modulo the wide prime, for more points, level by level."""
     n = a.shape[1]
-    h = n // 2
-    while h:
-        x = a.reshape(len(a), -1, 2, h)
-        u, v = x[:, :, 0], x[:, :, 1]
-        total, rest = u + v, _fold((u - v) * _roots(h, p, False), p)
-        if p != FERMAT:
-            total %= p
-        x[:, :, 0], x[:, :, 1] = total, rest
-        h //= 2
-    return a % p
-
-
-def _backward(a: np.ndarray, p: int) -> np.ndarray:
-    """Inverse of ``_forward``."""
-    n, h = a.shape[1], 1
+    for x in (a, b):
+        h = n // 2
+        while h:
+            y = x.reshape(len(x), -1, 2, h)
+            u, v = y[:, :, 0], y[:, :, 1]
+            y[:, :, 0], y[:, :, 1] = (u + v) % WIDE, (u - v) * _wide_roots(h, False) % WIDE
+            h //= 2
+    x, h = a * b % WIDE, 1
     while h < n:
-        x = a.reshape(len(a), -1, 2, h)
-        u, v = x[:, :, 0], _fold(x[:, :, 1] * _roots(h, p, True), p)
-        total, rest = u + v, u - v
-        if p != FERMAT:
-            total, rest = total % p, rest % p
-        x[:, :, 0], x[:, :, 1] = total, rest
+        y = x.reshape(len(x), -1, 2, h)
+        u, v = y[:, :, 0], y[:, :, 1] * _wide_roots(h, True) % WIDE
+        y[:, :, 0], y[:, :, 1] = (u + v) % WIDE, (u - v) % WIDE
         h *= 2
-    return a % p * pow(n, p - 2, p) % p
+    return x * pow(n, WIDE - 2, WIDE) % WIDE
 
 
 def zero_distances(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int,
@@ -97,25 +134,30 @@ def zero_distances(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, le
     sum of squared differences with the words at distance ``low`` ..
     ``low+many-1`` is zero modulo the prime, occurrences ending by ``ends``."""
     points = 1 << (many + length - 2).bit_length()
-    p = FERMAT if points < FERMAT else WIDE
+    small = points < FERMAT
+    p = FERMAT if small else WIDE
+    kind = float if small else np.int64
     values = symbols * 40_503 % p
     squares = np.concatenate([[0], np.cumsum(values * values % p)])
+    beyond = low + many + length                                       # what lies there never counts
+    energy = (squares[length:] - squares[:-length]) % p if len(values) >= length else squares[:0]
+    blocks, windows, energies = (
+        np.lib.stride_tricks.sliding_window_view(np.concatenate([x, np.zeros(beyond, np.int64)]).astype(kind), w)
+        for x, w in ((values, length), (values, many + length - 1), (energy, many)))
     at, far = [], []
     rows = max(1, CELLS // points)
     for k in range(0, len(starts), rows):
-        s, e = starts[k:k + rows], ends[k:k + rows]
-        block = np.zeros((len(s), points), np.int64)
-        block[:, :length] = values[s[:, None] + np.arange(length - 1, -1, -1)]
-        window = np.zeros((len(s), points), np.int64)
-        where = s[:, None] + np.arange(low, low + many + length - 1)
-        window[:, :many + length - 1] = values[np.minimum(where, len(values) - 1)]
-        product = _backward(_fold(_forward(block, p) * _forward(window, p), p), p)[:, length - 1:length - 1 + many]
-        other = s[:, None] + np.arange(low, low + many)
-        stop = np.minimum(other + length, len(values))
-        sums = (squares[s + length] - squares[s])[:, None] + squares[stop] - squares[np.minimum(other, len(values))] - 2 * product
-        i, j = np.nonzero((sums % p == 0) & (other + length <= e[:, None]))
-        at.append(s[i])
-        far.append(low + j)
+        s = starts[k:k + rows]
+        block, window = np.zeros((len(s), points), kind), np.zeros((len(s), points), kind)
+        block[:, :length] = blocks[s, ::-1]
+        window[:, :many + length - 1] = windows[s + low]
+        sums = (_cyclic if small else _wide_cyclic)(block, window)[:, length - 1:length - 1 + many]
+        sums = energies[s + low] - 2 * sums
+        sums += energy[s, None]
+        i, j = np.nonzero(np.rint(sums * (1.0 / p)) * p == sums if small else sums % p == 0)
+        inside = s[i] + low + j + length <= ends[k:k + rows][i]
+        at.append(s[i[inside]])
+        far.append(low + j[inside])
     return (np.concatenate(at), np.concatenate(far)) if at else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
@@ -216,7 +258,7 @@ def best_run(runs: list[tuple[int, int, int]]) -> tuple[int, int, int] | None:
 def summaries(texts: list[str], keys: list | None = None) -> list[tuple[list, str]]:
     """For each text its runs as (start, length, period), and the text less all
     repeated periods.  With ``keys`` (doc_ids) the rule of ``planted`` applies."""
-    numbers: dict[bytes, int] = {}
+    numbers: dict[bytes, int] = defaultdict(itertools.count().__next__)
     words, ids, ends = [], [], []
     for k, t in enumerate(texts):
         ws = t.encode("utf-8", "surrogatepass").split()       # of bytes: at \x20 and \x09-\x0D only
@@ -224,7 +266,7 @@ def summaries(texts: list[str], keys: list | None = None) -> list[tuple[list, st
         if places is not None:
             ws = [ws[i] for i in places.tolist()]
         words.append(ws)
-        ids.extend([numbers.setdefault(w, len(numbers)) for w in ws])
+        ids.extend(map(numbers.__getitem__, ws))
         ends.append(len(ids))
     ends = np.array(ends, np.int64)
     begins = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
