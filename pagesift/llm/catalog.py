@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann_tree, bwt_dedup, exact_dedup, html_diff, language_id, minhash, mixing, periodic_runs, secrets_scan, sentencepiece_bpe, suffix_tree_lm
+from . import ann_tree, bwt_dedup, exact_dedup, html_diff, language_id, minhash, mixing, periodic_runs, quality_ranking, secrets_scan, sentencepiece_bpe, source_divergence, suffix_tree_lm
 from .common import table
 
 QUERIES = {}
@@ -89,3 +89,46 @@ def op10_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return periodic_runs.detect(docs, plant=True, digests=True)
+
+
+@query
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit(table(spark, sf_dir, "documents", "lang", "source", "text"))
+
+
+ORACLE_SQL["op11_source_divergence"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+  FROM documents),
+tok AS (SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS lang_n FROM tok GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+cnt AS (SELECT lang, source, term, count(*) AS n FROM tok JOIN kept USING (lang, term) GROUP BY lang, source, term),
+lt AS (SELECT lang, count(*) AS v, sum(lang_n) AS lang_total FROM kept GROUP BY lang),
+st AS (SELECT lang, source, sum(n) AS total FROM cnt GROUP BY lang, source),
+g AS (SELECT DISTINCT lang, source FROM d),
+p AS (
+  SELECT g.lang, g.source, kept.term, coalesce(cnt.n, 0) AS n,
+         1 + (1000000000::HUGEINT * (coalesce(cnt.n, 0) + 2)) // (coalesce(st.total, 0) + 2 * lt.v)::HUGEINT AS p,
+         1 + (1000000000::HUGEINT * (kept.lang_n + 2)) // (lt.lang_total + 2 * lt.v)::HUGEINT AS q
+  FROM g JOIN kept USING (lang) JOIN lt USING (lang)
+  LEFT JOIN st ON st.lang = g.lang AND st.source = g.source
+  LEFT JOIN cnt ON cnt.lang = g.lang AND cnt.source = g.source AND cnt.term = kept.term),
+s AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+parts AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, CAST(((p - q) * (p - q)) // (p + q) AS BIGINT) FROM p WHERE n > 0 AND p > q),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM parts)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+
+@query
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels", "doc_id", "quality")
+    return quality_ranking.classify(table(spark, sf_dir, "documents", "doc_id", "text"), labels)
