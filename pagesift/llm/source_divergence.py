@@ -9,8 +9,8 @@ documents of the language) the smoothed share p = 1 + floor(10^9 (count + 2) /
    their multiplicities.  A Bloom filter finds possible repeats; only those
    rows shuffle, reduced per (lang, text, source) before they do.
 2. Each text left is tokenized once; its term counts and document frequencies
-   are added for each of its sources, times the multiplicity, inside slices of
-   bounded bytes, and summed by one aggregate over (lang, source, term).
+   are added for each of its sources, times the multiplicity, up to ``HELD``
+   counts inside a task, and summed by one aggregate over (lang, source, term).
 3. Pairs are evaluated sparsely.  With a0 the share of a term that a lacks and
    H(a, b) = sum over all kept terms of f(a_t, b0),
        sum f(a_t, b_t) = H(a, b) + H(b, a) - V f(a0, b0)
@@ -46,6 +46,7 @@ BLOCK = 512           # sources of a block; two blocks have at most 2^18 pairs
 PAIRS = 1 << 20       # pairs evaluated at a time
 SALTS = 64            # parts of the counts of one group
 SLICE = 4 << 20
+HELD = 250_000        # counts a task holds before it sends them on
 
 # letters A-Z as a-z, all other ASCII but a-z as blanks; bytes of other characters stay
 LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -78,13 +79,22 @@ def collapse(docs: DataFrame) -> DataFrame:
     return alone.unionByName(together)
 
 
+def _rows_of(counts: dict[tuple, Counter], docs: dict[tuple, Counter]):
+    for (lang, source), n in counts.items():
+        terms = [t.decode("utf-8", "surrogatepass") for t in n]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([lang] * len(n), pa.string()), pa.array([source] * len(n), pa.string()), pa.array(terms, pa.string()),
+             pa.array(list(n.values()), pa.int64()), pa.array([docs[lang, source][t] for t in n], pa.int64())],
+            ["lang", "source", "term", "n", "docs"])
+
+
 def count_terms(texts: DataFrame) -> DataFrame:
     """(lang, source, term, n, docs): weighted occurrences and documents."""
 
     def run(batches):
+        counts: dict[tuple, Counter] = {}
+        docs: dict[tuple, Counter] = {}
         for b in slices(batches, "text", SLICE):
-            counts: dict[tuple, Counter] = {}
-            docs: dict[tuple, Counter] = {}
             for lang, text, sources, copies in zip(*(b.column(i).to_pylist() for i in range(4))):
                 found = term_counts(text)
                 for source, m in zip(sources, copies):
@@ -96,12 +106,11 @@ def count_terms(texts: DataFrame) -> DataFrame:
                     else:
                         n.update({t: c * m for t, c in found.items()})
                         d.update(dict.fromkeys(found, m))
-            for (lang, source), n in counts.items():
-                terms = [t.decode("utf-8", "surrogatepass") for t in n]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(n), pa.string()), pa.array([source] * len(n), pa.string()), pa.array(terms, pa.string()),
-                     pa.array(list(n.values()), pa.int64()), pa.array([docs[lang, source][t] for t in n], pa.int64())],
-                    ["lang", "source", "term", "n", "docs"])
+            if sum(map(len, counts.values())) >= HELD:
+                yield from _rows_of(counts, docs)
+                counts.clear()
+                docs.clear()
+        yield from _rows_of(counts, docs)
 
     found = texts.select("lang", "text", "sources", "copies").mapInArrow(run, "lang string, source string, term string, n long, docs long")
     return found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))

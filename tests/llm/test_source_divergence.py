@@ -62,6 +62,7 @@ def made(seed, n_sources):
 def test_against_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(S, "BLOCK", block)       # 2: pairs across blocks of sources
     monkeypatch.setattr(S, "PAIRS", 50)
+    monkeypatch.setattr(S, "HELD", 20 * block)
     rows = made(block, 7)
     docs = spark.createDataFrame(rows, "lang string, source string, text string")
     got = S.audit(docs, min_docs=3, top=4)
