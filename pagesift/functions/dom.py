@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
+from .sqltext import F
 
 from .text import PY_WS, let, py_strip
 

@@ -8,7 +8,7 @@ Java's ``\\s`` are not.  The set below is exactly the characters for which
 from __future__ import annotations
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
+from .sqltext import F
 
 # Characters for which Python's str.isspace() holds (29 of them).
 PY_WS_CHARS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())

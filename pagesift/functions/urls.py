@@ -12,7 +12,7 @@ from __future__ import annotations
 from urllib.parse import uses_netloc, uses_params, uses_relative
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
+from .sqltext import F
 
 from .text import let
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from ..functions.sqltext import F
 
 from ..functions import dom as D
 from ..functions.dates import NTZ, dates_in_text, ntz_lit, parse_date_string

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from ..functions.sqltext import F
 
 from ..functions import dom as D
 from ..functions.shred import shred_pages

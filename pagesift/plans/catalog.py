@@ -8,7 +8,7 @@ no row caps, id subsets or samples.  Column names match the oracle SQL in
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from ..functions.sqltext import F
 
 from ..operators.content import extract_content, split_results
 from ..session import materialize
