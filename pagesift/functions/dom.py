@@ -2,8 +2,10 @@
 
 Selectors are the small subset the extraction rules use: ``tag``, ``.class``,
 ``#id``, ``tag[attr]`` and ``tag[attr=value]``.  ``first_match`` is
-``select_one``: the first element in document order.  All functions take and
-return Columns; nothing here runs Python per row.
+``select_one``: the first element in document order, looked up in ``first``.
+Texts of subtrees are cut out of ``texts``.  So the row must still carry the
+columns ``texts`` and ``first`` that shredding put beside ``dom``.  All
+functions take and return Columns; nothing here runs Python per row.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ import re
 from pyspark.sql import Column
 from .sqltext import F
 
-from .text import PY_WS, let, py_strip
+from .text import PY_WS, let
 
 _SEL = re.compile(r"^(?P<tag>[a-z0-9]*)(?:(?P<cls>\.[\w-]+)|(?P<id>#[\w-]+)|"
                   r"\[(?P<attr>[\w-]+)(?:=(?P<val>[^\]]*))?\])?$")
@@ -61,7 +63,9 @@ def matches(n: Column, selector: str) -> Column:
 
 def first_match(dom: Column, selector: str) -> Column:
     """``select_one(selector)``: the first matching node struct or NULL."""
-    return F.get(F.filter(dom, lambda n: matches(n, selector)), 0)
+    if "=" in selector:
+        return F.get(F.filter(dom, lambda n: matches(n, selector)), 0)
+    return node_at(dom, F.try_element_at(F.col("first"), F.lit(selector)))
 
 
 def all_matches(dom: Column, selector: str) -> Column:
@@ -82,12 +86,27 @@ def node_at(dom: Column, pos: Column) -> Column:
     return F.get(dom, pos)
 
 
-def stripped_text(dom: Column, n: Column) -> Column:
+def stripped_text(dom: Column, n: Column, most: int | None = None) -> Column:
     """``get_text(strip=True)``: plain text nodes (no comments, scripts,
-    styles), each stripped, empties dropped, joined without separator."""
-    return let(n, lambda v: F.array_join(F.transform(
-        F.filter(descendants(dom, v), lambda m: m["kind"] == "t"),
-        lambda m: py_strip(m["text"])), ""))
+    styles), each stripped, empties dropped, joined without separator.
+    ``most``: only the first characters."""
+    def cut(v):
+        size = node_at(dom, v["end"])["bytes"] - v["bytes"]
+        if most is not None:
+            size = F.least(size, F.lit(4 * most))     # no character has more bytes
+        text = F.substring(F.col("texts"), v["bytes"] + 1, size).cast("string")
+        return text if most is None else F.substring(text, 1, most)
+    return let(n, cut)
+
+
+def text_length(dom: Column, n: Column) -> Column:
+    """Characters of ``stripped_text``."""
+    return node_at(dom, n["end"])["chars"] - n["chars"]
+
+
+def count_below(dom: Column, n: Column, what: str) -> Column:
+    """How many ``anchors`` or ``hrefs`` stand below ``n``."""
+    return node_at(dom, n["end"])[what] - n[what]
 
 
 def raw_text(dom: Column, n: Column) -> Column:

@@ -1,12 +1,21 @@
 """HTML page -> ``dom`` array column (the one Python step of the hot path).
 
-Each page becomes ``ARRAY<STRUCT<pos, end, parent, kind, tag, attrs, text>>``
-with the nodes in document order.  ``pos`` is the node's own index, ``end``
-the index of its last descendant (pre-order interval encoding), ``parent``
-the index of the enclosing element; index 0 is the document itself.  After
-this every tree question (first match of a selector, descendants, parent,
-siblings, text of a subtree) is a Catalyst array expression over the column,
-see ``functions/dom.py``.
+Each page becomes ``dom``, an array of nodes in document order.  ``pos`` is the
+node's own index, ``end`` the index of its last descendant (pre-order interval
+encoding), ``parent`` the index of the enclosing element; index 0 is the
+document itself.  Three indexes made on the way keep questions about subtrees
+and selectors from scanning the array:
+
+* ``texts``: the stripped plain texts of the page, joined, as UTF-8; every node
+  carries how many characters (``chars``) and bytes (``bytes``) of it, how many
+  ``a`` (``anchors``) and how many ``a[href]`` (``hrefs``) come up to itself, so
+  the text of a subtree is one cut and its length or number of links the
+  difference of two entries;
+* ``first``: tag, ``.class``, ``#id`` and ``tag[attr]`` -> first position.
+
+After this every tree question (first match of a selector, descendants, parent,
+siblings, text of a subtree) is a Catalyst expression over these columns, see
+``functions/dom.py``.
 
 Tokenising is Python's stdlib ``html.parser``; the tree rules are those of
 the lenient ``html.parser`` tree builder used by the reference:
@@ -28,6 +37,7 @@ Node kinds: ``e`` element, ``t`` text, ``c`` comment, ``s`` text of a
 
 from __future__ import annotations
 
+import json
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -45,6 +55,8 @@ VOID_TAGS = frozenset((
 STRING_CONTAINER_TAGS = frozenset(("script", "style", "template", "rt", "rp"))
 PRESERVE_WS_TAGS = frozenset(("pre", "textarea"))
 ASCII_BLANKS = " \n\t\f\r"
+CDATA = "#cdata"       # tag of a text node that was a CDATA section
+LD_JSON = "application/ld+json"
 
 NODE_TYPE = T.StructType([
     T.StructField("pos", T.IntegerType()),
@@ -54,13 +66,18 @@ NODE_TYPE = T.StructType([
     T.StructField("tag", T.StringType()),
     T.StructField("attrs", T.MapType(T.StringType(), T.StringType())),
     T.StructField("text", T.StringType()),
+    *(T.StructField(c, T.IntegerType()) for c in ("chars", "bytes", "anchors", "hrefs")),
 ])
 DOM_TYPE = T.ArrayType(NODE_TYPE)
+PAGE_FIELDS = [T.StructField("dom", DOM_TYPE), T.StructField("texts", T.BinaryType()),
+               T.StructField("first", T.MapType(T.StringType(), T.IntegerType())),
+               T.StructField("ld_json", T.ArrayType(T.StringType())), T.StructField("parse_error", T.StringType())]
 
 _ARROW_NODE = pa.struct([
     ("pos", pa.int32()), ("end", pa.int32()), ("parent", pa.int32()),
     ("kind", pa.string()), ("tag", pa.string()),
     ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()),
+    *((c, pa.int32()) for c in ("chars", "bytes", "anchors", "hrefs")),
 ])
 
 
@@ -92,7 +109,7 @@ class _TreeBuilder(HTMLParser):
         self.text.append(text)
         return pos
 
-    def _flush(self, kind=None):
+    def _flush(self, kind=None, tag=None):
         if not self.buf:
             return
         data = "".join(self.buf)
@@ -105,7 +122,7 @@ class _TreeBuilder(HTMLParser):
                 kind = "s" if self.containers[-1] in ("script", "style") else "x"
             else:
                 kind = "t"
-        self._add(kind, None, None, data)
+        self._add(kind, tag, None, data)
 
     def handle_data(self, data):
         self.buf.append(data)
@@ -129,7 +146,7 @@ class _TreeBuilder(HTMLParser):
         self._flush()
         if data.upper().startswith("CDATA["):
             self.buf.append(data[6:])
-            self._flush("t")
+            self._flush("t", CDATA)
         else:
             self.buf.append(data)
             self._flush("d")
@@ -216,20 +233,64 @@ def byte_slices(batches, column: str, max_bytes: int = 4 << 20):
                 start, held = i + 1, 0
 
 
-def _shred_batch(htmls: pa.Array) -> tuple[pa.Array, pa.Array]:
-    """(dom, parse error) columns of a batch of pages."""
+_READER = json.JSONDecoder(parse_constant=lambda _: 1.5)
+
+
+def tolerant_json(text: str) -> str | None:
+    """JSON text in the strict form that Catalyst reads, None if unreadable.
+    The last of repeated keys wins; ``NaN`` and ``Infinity`` are numbers, and
+    as no rule looks at the value of a number any other stands for them."""
+    try:
+        return json.dumps(_READER.decode(text))
+    except (ValueError, RecursionError):
+        return None
+
+
+def page_index(b: _TreeBuilder):
+    """(prefix sums, joined stripped texts, first positions, JSON-LD scripts)
+    of one node table.  A JSON-LD script without a single string is null, an
+    unreadable one is empty."""
+    sums = {c: [] for c in ("chars", "bytes", "anchors", "hrefs")}
+    pieces, first, scripts = [], {}, []
+    chars = size = anchors = hrefs = 0
+    for pos, (kind, tag, attrs, text) in enumerate(zip(b.kind, b.tag, b.attrs, b.text)):
+        if kind == "t":
+            piece = text.strip()
+            pieces.append(piece)
+            chars += len(piece)
+            size += len(piece) if piece.isascii() else len(piece.encode())
+        elif kind == "e" and pos:
+            first.setdefault(tag, pos)
+            for k in attrs:
+                first.setdefault(f"{tag}[{k}]", pos)
+            for c in attrs.get("class", "").split():
+                first.setdefault("." + c, pos)
+            if "id" in attrs:
+                first.setdefault("#" + attrs["id"], pos)
+            if tag == "a":
+                anchors += 1
+                hrefs += "href" in attrs
+            elif tag == "script" and attrs.get("type") == LD_JSON:
+                one = b.end[pos] == pos + 1 and b.text[pos + 1] is not None
+                scripts.append((tolerant_json(b.text[pos + 1]) or "") if one else None)
+        for c, v in (("chars", chars), ("bytes", size), ("anchors", anchors), ("hrefs", hrefs)):
+            sums[c].append(v)
+    return sums, "".join(pieces), first, scripts
+
+
+def _shred_batch(tables: list) -> list[pa.Array]:
+    """The columns ``PAGE_FIELDS`` of a batch of ``shred_one`` results."""
     offsets = [0]
-    cols = {k: [] for k in ("end", "parent", "kind", "tag", "attrs", "text")}
-    pos = []
-    valid = []
-    errors = []
-    for h in htmls.to_pylist():
-        b, error = shred_one(h)
-        errors.append(error)
+    cols = {k: [] for k in ("end", "parent", "kind", "tag", "attrs", "text", "chars", "bytes", "anchors", "hrefs")}
+    pos, texts, firsts, scripts = [], [], [], []
+    for b, _ in tables:
         if b is None:
             offsets.append(offsets[-1])
-            valid.append(False)
+            texts.append(None)
+            firsts.append(None)
+            scripts.append(None)
             continue
+        sums, text, first, ld = page_index(b)
         n = len(b.kind)
         pos.extend(range(n))
         cols["end"].extend(b.end)
@@ -238,33 +299,34 @@ def _shred_batch(htmls: pa.Array) -> tuple[pa.Array, pa.Array]:
         cols["tag"].extend(b.tag)
         cols["attrs"].extend(None if a is None else list(a.items()) for a in b.attrs)
         cols["text"].extend(b.text)
+        for c, v in sums.items():
+            cols[c].extend(v)
         offsets.append(offsets[-1] + n)
-        valid.append(True)
+        texts.append(text.encode())
+        firsts.append(list(first.items()))
+        scripts.append(ld)
     nodes = pa.StructArray.from_arrays(
-        [pa.array(pos, pa.int32()), pa.array(cols["end"], pa.int32()),
-         pa.array(cols["parent"], pa.int32()), pa.array(cols["kind"], pa.string()),
-         pa.array(cols["tag"], pa.string()),
-         pa.array(cols["attrs"], pa.map_(pa.string(), pa.string())),
-         pa.array(cols["text"], pa.string())],
+        [pa.array(pos, pa.int32()), *(pa.array(v, _ARROW_NODE.field(c).type) for c, v in cols.items())],
         fields=list(_ARROW_NODE))
-    mask = pa.array([not v for v in valid], pa.bool_())
-    return (pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), nodes, mask=mask),
-            pa.array(errors, pa.string()))
+    mask = pa.array([b is None for b, _ in tables], pa.bool_())
+    return [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), nodes, mask=mask), pa.array(texts, pa.binary()),
+            pa.array(firsts, pa.map_(pa.string(), pa.int32())), pa.array(scripts, pa.list_(pa.string())),
+            pa.array([error for _, error in tables], pa.string())]
 
 
 def shred_pages(df: DataFrame, html: str = "html") -> DataFrame:
-    """Replace the ``html`` column of ``df`` by ``dom`` and ``parse_error``,
-    slice by slice.
+    """Replace the ``html`` column of ``df`` by ``PAGE_FIELDS``, slice by slice.
 
     A ``mapInArrow`` node: deterministic (so exchanges above it can be reused
     by Spark), and filters on derived columns are not pushed below it.  Put
     filters on page columns before it (they then reach the scan)."""
     keep = [f for f in df.schema.fields if f.name != html]
-    out_schema = T.StructType(keep + [T.StructField("dom", DOM_TYPE), T.StructField("parse_error", T.StringType())])
+    out_schema = T.StructType(keep + PAGE_FIELDS)
     names = [f.name for f in keep]
 
     def run(batches):
         for b in byte_slices(batches, html):
             cols = [b.column(n) for n in names]
-            yield pa.RecordBatch.from_arrays([*cols, *_shred_batch(b.column(html))], names=[*names, "dom", "parse_error"])
+            yield pa.RecordBatch.from_arrays([*cols, *_shred_batch([shred_one(h) for h in b.column(html).to_pylist()])],
+                                             names=out_schema.fieldNames())
     return df.mapInArrow(run, out_schema)

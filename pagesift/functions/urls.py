@@ -9,6 +9,8 @@ NULL for ``javascript:void(0)``.
 
 from __future__ import annotations
 
+import functools
+import unicodedata
 from urllib.parse import uses_netloc, uses_params, uses_relative
 
 from pyspark.sql import Column
@@ -31,6 +33,47 @@ _SPLIT = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^
 _PARAMS = r"(?s)^((?:.*/)?[^/;]*)(?:;([^/]*))?$"
 
 
+# -- malformed hosts -------------------------------------------------------------
+_HEX = "[0-9a-fA-F]{1,4}"
+_OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+_IPV4 = rf"(?:{_OCTET}\.){{3}}{_OCTET}"
+
+
+def _ipv6_pattern() -> str:
+    """An IPv6 address: eight groups, the last two also as IPv4, or fewer
+    around one ``::``; then maybe a scope."""
+    forms = [f"(?:{_HEX}:){{7}}{_HEX}", f"(?:{_HEX}:){{6}}{_IPV4}"]
+    for k in range(8):
+        before = f"(?:{_HEX}:){{{k - 1}}}{_HEX}" if k else ""
+        after = [""]
+        if k < 7:
+            after.append(f"(?:{_HEX}:){{0,{6 - k}}}{_HEX}")
+        if k < 6:
+            after.append(f"(?:{_HEX}:){{0,{5 - k}}}{_IPV4}")
+        forms.append(f"{before}::(?:{'|'.join(after)})")
+    return f"(?:{'|'.join(forms)})(?:%[^%\\]]+)?"
+
+
+# what stands between the first "[" and the next "]"
+_BRACKETS = rf"(?s)^[^\[]*\[(?:v[0-9a-fA-F]+\.[^\]]+|{_ipv6_pattern()})(?:\].*)?$"
+PLAIN_URL = r"^[\x{0}-\x{5A}\x{5C}\x{5E}-\x{7F}]*$"      # ASCII without brackets: never malformed
+
+
+@functools.lru_cache(maxsize=1)
+def _unsafe_in_host() -> str:
+    """Characters that compatibility normalization turns into a delimiter."""
+    return "".join(chr(c) for c in range(0x80, 0x30000) if set("/?#@:") & set(unicodedata.normalize("NFKC", chr(c))))
+
+
+def bad_host(netloc: Column) -> Column:
+    """Whether the standard library (Python 3.13) refuses the host: an
+    unpaired bracket, brackets around anything but an IPv6 (or ``v...``)
+    address, or characters that normalize to delimiters."""
+    unsafe = "[" + "".join("\\x{%X}" % ord(c) for c in _unsafe_in_host()) + "]"
+    return ~netloc.rlike(PLAIN_URL) & (
+        ((netloc.contains("[") | netloc.contains("]")) & ~(netloc.contains("]") & netloc.rlike(_BRACKETS))) | netloc.rlike(unsafe))
+
+
 def split_url(u: Column, default_scheme: Column | str = "") -> Column:
     """``urlparse(u, default_scheme)`` -> struct(scheme, netloc, path,
     params, query, fragment), all strings."""
@@ -117,17 +160,24 @@ def _join(x: Column) -> Column:
                                    h["fragment"])))
 
 
+_PLAIN_PATH = r"^/(?:[A-Za-z0-9_\-][A-Za-z0-9_\-/]*)?$"
+_PLAIN_SITE = r"^(https?://[A-Za-z0-9.\-]+)(?:[/?#]|$)"
+
+
 def resolve_url(href: Column, base: Column | str) -> Column:
-    """``urljoin(base, href)``."""
+    """``urljoin(base, href)``; NULL where either has a malformed host.
+    A plain absolute path needs no splitting."""
     def go(x):
         b = split_url(x["base"])
         return let(F.struct(x["href"].alias("href"), b.alias("b")),
-                   lambda y: _join(F.struct(y["href"].alias("href"), y["b"].alias("b"),
-                                            split_url(y["href"], y["b"]["scheme"]).alias("h"))))
+                   lambda y: let(F.struct(y["href"].alias("href"), y["b"].alias("b"), split_url(y["href"], y["b"]["scheme"]).alias("h")),
+                                 lambda z: F.when(~bad_host(z["b"]["netloc"]) & ~bad_host(z["h"]["netloc"]), _join(z))))
 
     def outer(x):
         return (F.when(x["base"].isNull() | (x["base"] == ""), x["href"])
                 .when(x["href"].isNull() | (x["href"] == ""), x["base"])
+                .when(x["href"].rlike(_PLAIN_PATH) & x["base"].rlike(_PLAIN_SITE),
+                      F.concat(F.regexp_extract(x["base"], _PLAIN_SITE, 1), x["href"]))
                 .otherwise(go(x)))
     return let(F.struct(href.alias("href"), _lit(base).alias("base")), outer)
 
@@ -158,9 +208,15 @@ def is_announcement_url(url: Column, domain: str = DEFAULT_DOMAIN) -> Column:
         host_ok = (p["netloc"] == "") | p["netloc"].contains(domain)
         skipped = F.exists(F.array(*[F.lit(s) for s in SKIP_PATTERNS]), lambda s: path.contains(s))
         accepted = F.exists(F.array(*[F.lit(s) for s in ACCEPT_PATTERNS]), lambda s: path.contains(s))
-        return host_ok & ~skipped & (accepted | (F.length(path) > 1))
+        return host_ok & ~skipped & (accepted | (F.length(path) > 1)) & ~bad_host(p["netloc"])
     return F.coalesce(let(split_url(url), test), F.lit(False))
 
 
+def resolvable(href: Column, base: Column) -> Column:
+    """Whether ``resolve_listing_url`` has a result, mostly without computing it."""
+    return F.when(href.startswith("http://") | href.startswith("https://") | (href.rlike(PLAIN_URL) & base.rlike(PLAIN_URL)), F.lit(True)) \
+        .otherwise(resolve_listing_url(href, base).isNotNull())
+
+
 def url_host(url: Column) -> Column:
     return split_url(url)["netloc"]

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from ..functions.sqltext import F
 
 from ..functions import dom as D
-from ..functions.dates import NTZ, dates_in_text, ntz_lit, parse_date_string
+from ..functions.dates import NTZ, dates_in_text, first_parsable, ntz_lit, parse_date_string
 from ..functions.shred import shred_pages
 from ..functions.text import PY_WS, cut_with_ellipsis, let, py_strip
 from ..functions.urls import resolve_url
@@ -51,8 +51,7 @@ def extract_title(dom: Column) -> Column:
     """First selector whose element's stripped text is longer than 5."""
     arms = []
     for sel in TITLE_SELECTORS:
-        t = D.stripped_text(dom, D.first_match(dom, sel))
-        arms.append(let(t, lambda v: F.when(F.length(v) > 5, v)))
+        arms.append(let(D.first_match(dom, sel), lambda n: F.when(D.text_length(dom, n) > 5, D.stripped_text(dom, n))))
     return F.coalesce(*arms)
 
 
@@ -61,7 +60,7 @@ def largest_block(dom: Column, min_chars: int = 100) -> Column:
     wins ties, so an outer block beats an equal inner one), if > min_chars."""
     cands = F.filter(dom, lambda n: D.is_tag(n, *BLOCK_TAGS))
     scored = F.transform(cands, lambda c: F.struct(
-        F.length(D.stripped_text(dom, c)).alias("len"), (-c["pos"]).alias("neg")))
+        D.text_length(dom, c).alias("len"), (-c["pos"]).alias("neg")))
     return let(F.array_max(scored),
                lambda best: F.when(best["len"] > min_chars, D.node_at(dom, -best["neg"])))
 
@@ -98,13 +97,13 @@ def content_text(dom: Column, area: Column, min_chars: int = 50) -> Column:
 
 def link_context(dom: Column, a: Column) -> Column:
     """The parent's stripped text, cut at 200 with an ellipsis."""
-    return cut_with_ellipsis(D.stripped_text(dom, D.node_at(dom, a["parent"])), 200)
+    return cut_with_ellipsis(D.stripped_text(dom, D.node_at(dom, a["parent"]), 201), 200)
 
 
 def embedded_links(dom: Column, scope: Column, base_url: Column) -> Column:
     """``a[href]`` under ``scope``; empty and ``#...`` hrefs skipped,
-    resolved against the page URL, text falls back to the href; not
-    deduplicated, no host test."""
+    resolved against the page URL (a malformed host drops the link), text
+    falls back to the href; not deduplicated, no host test."""
     anchors = F.filter(D.descendants(dom, scope), lambda n: D.is_tag(n, "a") & D.has_attr(n, "href"))
     anchors = F.filter(anchors, lambda n: (py_strip(D.attr(n, "href")) != "")
                        & ~py_strip(D.attr(n, "href")).startswith("#"))
@@ -116,7 +115,7 @@ def embedded_links(dom: Column, scope: Column, base_url: Column) -> Column:
                        F.when(x["text"] != "", x["text"]).otherwise(x["href"]).alias("text"),
                        resolve_url(x["href"], base_url).alias("url"),
                        link_context(dom, a).alias("context")))
-    return F.transform(anchors, to_link)
+    return F.filter(F.transform(anchors, to_link), lambda x: x["url"].isNotNull())
 
 
 # -- publication date (E7-E11) --------------------------------------------------
@@ -138,19 +137,15 @@ def _truthy(v: Column, pytype: Column) -> Column:
             .otherwise(F.lit(False)))
 
 
-def jsonld_date(dom: Column) -> Column:
+def jsonld_date() -> Column:
     """JSON-LD scripts in order; fields in order; first parsable date.
 
     Returns ``struct(date, error)``: a script without text, or a non-string
-    date value, raises in the reference and fails the page (quirk Q10)."""
-    scripts = F.filter(dom, lambda n: D.is_tag(n, "script")
-                       & F.coalesce(D.attr(n, "type") == "application/ld+json", F.lit(False)))
-
-    def one(s):
-        string = F.when(s["end"] == s["pos"] + 1, D.node_at(dom, s["pos"] + 1)["text"])
-        return let(F.struct(string.alias("s"), F.try_parse_json(string).alias("v")),
-                   lambda x: _ld_outcome(x["s"], x["v"]))
-    return F.get(F.filter(F.transform(scripts, one), lambda r: r.isNotNull()), 0)
+    date value, raises in the reference and fails the page (quirk Q10).  Of
+    repeated keys the last counts, and ``NaN`` is a number."""
+    return F.get(F.filter(F.transform(F.col("ld_json"), lambda s: let(
+        F.struct(s.alias("s"), F.try_parse_json(s).alias("v")), lambda x: _ld_outcome(x["s"], x["v"]))),
+        lambda r: r.isNotNull()), 0)
 
 
 def _ld_outcome(string: Column, v: Column) -> Column:
@@ -160,18 +155,20 @@ def _ld_outcome(string: Column, v: Column) -> Column:
     def err(msg):
         return F.struct(F.lit(None).cast(NTZ).alias("date"), msg.alias("error"))
     top = _py_type(F.schema_of_variant(v))
-    outcome = none
-    # built from the last field outwards, so the first field is tested first
-    for f in reversed(LD_DATE_FIELDS):
-        fv = F.try_variant_get(v, "$." + f, "variant")
+
+    def of_field(fv):
         ftype = _py_type(F.schema_of_variant(fv))
         live = fv.isNotNull() & F.coalesce(_truthy(fv, ftype), F.lit(False))
-        date = parse_date_string(F.try_variant_get(fv, "$", "string"))
-        outcome = (F.when(live & (ftype != "str"),
-                          err(F.concat(F.lit("'"), ftype, F.lit("' object has no attribute 'strip'"))))
-                   .when(live & date.isNotNull(),
-                         F.struct(date.alias("date"), F.lit(None).cast("string").alias("error")))
-                   .otherwise(outcome))
+        return F.struct(live.alias("live"), ftype.alias("type"), F.try_variant_get(fv, "$", "string").alias("s"))
+
+    def settle(x):
+        """A live field that is no string fails; a string counts if it parses."""
+        return let(parse_date_string(x["s"]), lambda d: (
+            F.when(x["live"] & (x["type"] != "str"), err(F.concat(F.lit("'"), x["type"], F.lit("' object has no attribute 'strip'"))))
+            .when(x["live"] & d.isNotNull(), F.struct(d.alias("date"), F.lit(None).cast("string").alias("error")))
+            .otherwise(none)))
+    values = F.array(*[let(F.try_variant_get(v, "$." + f, "variant"), of_field) for f in LD_DATE_FIELDS])
+    outcome = F.get(F.filter(F.transform(values, settle), lambda r: r.isNotNull()), 0)
     fields = F.array(*[F.lit(f) for f in LD_DATE_FIELDS])
     list_has_field = F.exists(fields, lambda f: F.array_contains(
         F.try_variant_get(v, "$", "array<string>"), f))
@@ -189,19 +186,15 @@ def _ld_outcome(string: Column, v: Column) -> Column:
 def time_element_date(dom: Column) -> Column:
     """First ``time[datetime]`` whose attribute parses."""
     times = D.all_matches(dom, "time[datetime]")
-    parsed = F.transform(times, lambda n: parse_date_string(D.attr(n, "datetime")))
-    return F.get(F.filter(parsed, lambda d: d.isNotNull()), 0)
+    return first_parsable(F.transform(times, lambda n: D.attr(n, "datetime")))
 
 
 def selector_date(dom: Column) -> Column:
     """The first element of each date selector: its ``datetime``
     attribute, else its stripped text."""
-    arms = []
-    for sel in DATE_SELECTORS:
-        arms.append(let(D.first_match(dom, sel), lambda el: F.coalesce(
-            parse_date_string(D.attr(el, "datetime")),
-            parse_date_string(D.stripped_text(dom, el)))))
-    return F.coalesce(*arms)
+    strings = F.flatten(F.array(*[let(D.first_match(dom, sel), lambda el: F.array(
+        D.attr(el, "datetime"), D.stripped_text(dom, el))) for sel in DATE_SELECTORS]))
+    return first_parsable(strings)
 
 
 def text_date(dom: Column, month_names: bool = False) -> Column:
@@ -220,10 +213,10 @@ def page_fields(pages: DataFrame, link_scope: str = "area", use_selectors: bool
     keep = [c for c in pages.columns if c != "html"]
     dom = F.col("dom")
     stage1 = shred_pages(pages.select(*keep, "html")).select(
-        *keep, "dom", "parse_error",
+        *keep, "dom", "texts", "first", "parse_error",
         extract_title(dom).alias("title"),
         content_area(dom, use_selectors).alias("_area"),
-        jsonld_date(dom).alias("_ld"))
+        jsonld_date().alias("_ld"))
     area = F.col("_area")
     scope = area if link_scope == "area" else D.document(dom)
     return stage1.select(

@@ -321,8 +321,10 @@ BASE = "https://www.amazonaws.cn/en/new/"
 
 
 def _orders(spark, sf_dir, *cols):
-    from ..sources.tables import read_table
-    return read_table(spark, sf_dir, "orders", *cols)
+    from ..sources.tables import PAGE_PARTITIONS, read_table
+    orders = read_table(spark, sf_dir, "orders", *cols)
+    partitions = int(spark.conf.get(PAGE_PARTITIONS, "0"))     # pages are made of them
+    return orders.repartition(partitions) if partitions else orders
 
 
 def _k(c="o_orderkey"):
