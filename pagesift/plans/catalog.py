@@ -7,6 +7,8 @@ no row caps, id subsets or samples.  Column names match the oracle SQL in
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from ..functions.sqltext import F
 
@@ -420,8 +422,55 @@ def listing_title_only(spark, sf_dir):
     return links
 
 
+@query
+def listing_attribute_json(spark, sf_dir):
+    """L4 in the tree written out again: JSON in an attribute, its quotes as
+    entities or raw, is found; a value with both kinds of quotes is not."""
+    from ..operators.listing import harvest_links
+    o = _orders(spark, sf_dir, "o_orderkey", "o_orderpriority")
+
+    def item(quote, name):
+        q = F.lit(quote)
+        parts = [F.lit("{"), q, F.lit("fields"), q, F.lit(": {"), q, F.lit("itemTitle"), q, F.lit(":"), q, F.lit(name), _k(), q,
+                 F.lit(","), q, F.lit("itemLink"), q, F.lit(":"), q, F.lit("/en/new/"), _k(), F.lit("/"), q, F.lit("}}")]
+        return F.concat(*parts)
+    entity = F.concat(F.lit('<div class="a  b" data-item="'), item("&quot;", "Entity "), F.lit('">x</div>'))
+    raw = F.concat(F.lit("<div data-item='"), item('"', "Raw R&amp;D "), F.lit("'>x</div>"))
+    both = F.concat(F.lit('<div data-item="'), item("&quot;", "It's "), F.lit('">x</div>'))
+    pages = o.select(F.col("o_orderkey").alias("page_id"), F.lit(BASE).alias("url"), F.concat(entity, raw, both).alias("html"))
+    links, _ = harvest_links(pages, base=F.concat(F.lit(BASE), F.col("page_id").cast("string")))
+    return links
+
+
+_TOLERANT = """<script>[{"fields":{"itemTitle":"old","itemTitle":"Last %s","rank":NaN,"itemLink":"/en/new/%s/"}},
+{"fields":{"itemTitle":"No number","itemLink":"/n/","itemMetadataDate":-Infinity}},
+{"fields":{"itemTitle":"Unread %s","itemLink":"/u/","rank":nan}},{"fields":{"itemTitle":"End","itemLink":"//[bad/"}}]</script>"""
+
+
+def _tolerant_pages(spark, sf_dir):
+    o = _orders(spark, sf_dir, "o_orderkey")
+    return o.select(F.col("o_orderkey").alias("page_id"), F.lit(BASE).alias("url"),
+                    F.regexp_replace(F.lit(_TOLERANT), "%s", _k()).alias("html"))
+
+
+@query
+def listing_tolerant_json(spark, sf_dir):
+    """Of repeated keys the last counts, NaN and Infinity are
+    numbers; unreadable items, wrong types and malformed hosts are dropped."""
+    from ..operators.listing import harvest_links
+    links, _ = harvest_links(_tolerant_pages(spark, sf_dir), base=BASE)
+    return links
+
+
+@query
+def listing_unreadable(spark, sf_dir):
+    """L4: the JSON hits of each listing that no reading fits, counted."""
+    from ..operators.listing import unreadable_hits
+    return unreadable_hits(_tolerant_pages(spark, sf_dir)).withColumn("unreadable", F.col("unreadable").cast("bigint"))
+
+
 # -- links and their pages (S2), derived from orders ---------------------------------
-def _announcements(orders):
+def _announcements(orders, crawled="o_orderkey % 5 != 0"):
     """Announcement pages of orders: every fifth was never crawled, every
     seventh twice (the second copy says something else)."""
     k = _k()
@@ -431,7 +480,7 @@ def _announcements(orders):
         F.lit("</h1><p>Customer <a href=\"/c/"), _k("o_custkey"), F.lit('">c'), _k("o_custkey"),
         F.lit('</a> and <a href="#top">top</a> <a href="https://x.example/'), k,
         F.lit('">out</a> placed this order with a text longer than fifty characters.</p></article></body></html>'))
-    there = orders.filter("o_orderkey % 5 != 0")
+    there = orders.filter(crawled)
     once = there.select((F.col("o_orderkey") * 2).alias("page_id"), url.alias("url"), article.alias("html"))
     again = there.filter("o_orderkey % 7 = 0").select(
         (F.col("o_orderkey") * 2 + 1).alias("page_id"), url.alias("url"),
@@ -444,7 +493,7 @@ def area_links(spark, sf_dir):
     """E13, E14 in the content area: resolved links with their contexts."""
     from ..operators.links import page_links
     o = _orders(spark, sf_dir, "o_orderkey", "o_custkey")
-    return page_links(_announcements(o), scope="area").select("page_id", "position", "text", "url", "context")
+    return page_links(_announcements(o, "true"), scope="area").select("page_id", "position", "text", "url", "context")
 
 
 @query
@@ -558,6 +607,56 @@ def date_cascade(spark, sf_dir):
     return ex.select("page_id", "variant", "publication_date")
 
 
+@query
+def jsonld_tolerant(spark, sf_dir):
+    """Repeated keys and numbers that are none in JSON-LD; a date that is
+    a number fails the page."""
+    o = _orders(spark, sf_dir, "o_orderkey", "o_orderdate")
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+
+    def page(name, *json):
+        return F.struct(F.lit(name).alias("variant"), F.concat(
+            F.lit('<script type="application/ld+json">'), *json, F.lit("</script><article><h1>Order number "), _k(),
+            F.lit("</h1><p>Body text that is surely longer than fifty characters in total.</p></article>")).alias("html"))
+    variants = F.array(
+        page("repeated", F.lit('{"datePublished":"1999-01-01","datePublished":"'), day, F.lit('"}')),
+        page("nan", F.lit('{"rank":NaN,"dateCreated":"'), day, F.lit('"}')),
+        page("number", F.lit('{"datePublished":Infinity,"dateCreated":"'), day, F.lit('"}')),
+        page("unreadable", F.lit('{"rank":nan,"dateCreated":"'), day, F.lit('"}')))
+    pages = o.select(F.col("o_orderkey").alias("page_id"), F.inline(variants)).withColumn("url", F.lit(BASE))
+    return extract_content(pages.select("page_id", "variant", "url", "html")).select("page_id", "variant", "publication_date", "error_message")
+
+
+def _element(selector, inner):
+    """Markup of an element that ``selector`` matches around ``inner``."""
+    tag, kind, name = re.match(r"^([a-z0-9]*)([.#]?)([a-z-]*)", selector).groups()
+    attrs = {".": f' class="x {name}"', "#": f' id="{name}"'}.get(kind, "")
+    tag = tag or ("section" if "content" in name else "span")
+    return F.concat(F.lit(f"<{tag}{attrs}{' datetime=soon' if 'datetime' in selector else ''}>"), inner, F.lit(f"</{tag}>"))
+
+
+@query
+def selector_wins(spark, sf_dir):
+    """For every title, content and date selector a page on which
+    it is the one that wins."""
+    from ..operators.content import CONTENT_SELECTORS, DATE_SELECTORS, TITLE_SELECTORS
+    o = _orders(spark, sf_dir, "o_orderkey", "o_orderdate")
+    day = F.date_format("o_orderdate", "MMMM d, yyyy")
+    title, text = F.concat(F.lit("Order number "), _k()), F.concat(F.lit("Order "), _k(), F.lit(" has a text that is longer than fifty characters."))
+    outside = F.lit("<i>This text stands outside of the area and is a good deal longer than the text of the area itself is.</i>")
+
+    def page(kind, selector, *parts):
+        return F.struct(F.lit(f"{kind} {selector}").alias("variant"), F.concat(*parts).alias("html"))
+    variants = F.array(
+        *[page("title", x, F.lit("<h1>x</h1>") if x != "h1" else F.lit(""), _element(x, title), F.lit("<article>"), text, F.lit("</article>"))
+          for x in TITLE_SELECTORS],
+        *[page("content", x, F.lit("<h1>"), title, F.lit("</h1>"), outside, _element(x, text)) for x in CONTENT_SELECTORS],
+        *[page("date", x, F.lit("<h1>"), title, F.lit("</h1><main>"), text, F.lit("</main>"), _element(x, day)) for x in DATE_SELECTORS])
+    pages = o.select(F.col("o_orderkey").alias("page_id"), F.inline(variants)).withColumn("url", F.lit(BASE))
+    return extract_content(pages.select("page_id", "variant", "url", "html")).select(
+        "page_id", "variant", "title", "content_text", "publication_date", "error_message")
+
+
 @query
 def largest_block(spark, sf_dir):
     """Content area by the largest text block alone (selectors off)."""
