@@ -8,12 +8,14 @@ no row caps, id subsets or samples.  Column names match the oracle SQL in
 from __future__ import annotations
 
 import re
+import uuid
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from ..functions.sqltext import F
 
 from ..operators.content import extract_content, split_results
-from ..session import materialize
+from ..session import checkpoint_dir, materialize
 from ..sources.tables import read_pages
 
 QUERIES = {}
@@ -532,6 +534,61 @@ def full_run(spark, sf_dir):
     return rows.select("url", "title", "publication_date", "error_message")
 
 
+# -- sinks, written and read back ---------------------------------------------------
+def _order_results(spark, sf_dir, where="true"):
+    """(content, failures) of the announcement pages of orders, links included."""
+    o = _orders(spark, sf_dir, "o_orderkey", "o_custkey").filter(where)
+    return split_results(extract_content(_announcements(o, "true")))
+
+
+def _folder(spark, name):
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def report_txt(spark, sf_dir):
+    """K4, K2: the text report with its head, numbered announcements, links
+    and failures, written as ordered parts and read back line by line."""
+    from ..sinks.report import report_lines, write_report
+    path = write_report(*_order_results(spark, sf_dir), _folder(spark, "report"), "txt", datetime(2026, 1, 1), execution_time=12.5)
+    return report_lines(spark, path)
+
+
+@query
+def sink_json(spark, sf_dir):
+    """K0, K1, K7: announcements as JSON records in the run's folder, read
+    back with their links."""
+    from ..sinks.writers import write_run
+    path = write_run(*_order_results(spark, sf_dir), _folder(spark, "run"), datetime(2026, 1, 1))
+    back = spark.read.json(f"{path}/announcements")
+    return back.select("title", "url", "publication_date", "content_text", "extraction_timestamp",
+                       F.array_join(F.transform("embedded_links", lambda x: F.concat(x["text"], F.lit(" "), x["url"], F.lit(" "), x["context"])), "; ").alias("links"))
+
+
+@query
+def sink_metadata(spark, sf_dir):
+    """K2, K6: the summary and metadata rows that stand beside a run."""
+    from ..sinks.writers import write_run
+    path = write_run(*_order_results(spark, sf_dir), _folder(spark, "run"), datetime(2026, 1, 1), fmt="csv", timeout=30, max_retries=3,
+                     execution_time=1.5, date_filter="2025-12")
+    summary = spark.read.json(f"{path}/summary")
+    return summary.crossJoin(spark.read.json(f"{path}/metadata")).select(
+        "total_processed", "successful_extractions", "failed_extractions", "execution_time", "extraction_timestamp", "scraper_version",
+        "output_format", "duplicate_handling", "timeout", "max_retries", "date_filter")
+
+
+@query
+def sink_partitions(spark, sf_dir):
+    """K7: two runs as partitions; the second is written again with other
+    rows, which replaces it alone; each run's rows, counted on read."""
+    from ..sinks.report import read_runs, write_partition
+    path, first, second = _folder(spark, "runs"), datetime(2026, 1, 1), datetime(2026, 2, 1)
+    for run, where in ((first, "true"), (second, "o_orderkey % 2 = 0"), (second, "o_orderkey % 2 = 1")):
+        write_partition(_order_results(spark, sf_dir, where)[0], path, run)
+    return read_runs(spark, path).groupBy("run", "language").agg(
+        F.count(F.lit(1)).alias("n"), F.min("title").alias("least_title"))
+
+
 # -- dates --------------------------------------------------------------------------
 # Forms of each order date rendered as text (Spark pattern, parses?).
 DATE_FORMS = [
