@@ -8,6 +8,7 @@ run is not pulled into one task.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -154,3 +155,72 @@ def categorize(title: Column, rules=None) -> Column:
     for cat, kw, _ in reversed(rules):
         expr = F.when(t.contains(kw), F.lit(cat)).otherwise(expr)
     return expr
+
+
+# -- X2 with a table of rules ----------------------------------------------------------
+RULE_BYTES = 32 << 20      # of keywords in one automaton, which every Python worker holds
+
+
+def categorize_by(df: DataFrame, rules: DataFrame, text: str = "text", name: str = "category", most: int = RULE_BYTES) -> DataFrame:
+    """``df`` with the category of the first rule whose keyword is in the
+    lowercased text, else 'Other'.
+
+    ``rules(category, keyword, priority)`` is a table; the lowest priority wins,
+    then the smaller keyword and category.  Its keywords become one automaton
+    that reads a text once whatever their number.  A table of more than ``most``
+    bytes is split by a hash of the keyword into automata of that size, which
+    read one after the other; the driver never holds more than one.  Null
+    texts, and rules with a null, match nothing; an empty keyword matches every
+    text.  Texts stay where they are: nothing shuffles."""
+    known = rules.select("category", "keyword", F.col("priority").cast("long").alias("priority")).dropna()
+    size = known.agg(F.coalesce(F.sum(F.octet_length("keyword") + F.octet_length("category")), F.lit(0))).first()[0]
+    parts = max(1, -(-size // most))
+    best = "struct<priority:bigint,keyword:string,category:string>"
+    out = df.withColumn("__best", F.lit(None).cast(best)).withColumn("__low", F.lower(F.col(text)))
+    for k in range(parts):
+        rows = known.filter(F.pmod(F.xxhash64("keyword"), F.lit(parts)) == k).collect()
+        first: dict[str, tuple] = {}
+        for r in rows:
+            first[r.keyword] = min(first.get(r.keyword, (r.priority, r.keyword, r.category)), (r.priority, r.keyword, r.category))
+        out = _first_rule(out, df.sparkSession.sparkContext.broadcast(list(first.values())))
+    return out.withColumn(name, F.coalesce(F.col("__best.category"), F.lit("Other"))).drop("__best", "__low")
+
+
+def _first_rule(df: DataFrame, shared) -> DataFrame:
+    """``__best`` lowered to the least rule of one automaton found in ``__low``."""
+
+    def run(batches):
+        find = _finder(shared.value)
+        for b in batches:
+            at = b.schema.get_field_index("__best")
+            kind = b.schema.field(at).type
+            found = []
+            for text, held in zip(b.column("__low").to_pylist(), b.column(at).to_pylist()):
+                rule = find(text) if text is not None else None
+                if held is not None and (rule is None or tuple(held.values()) < rule):
+                    rule = tuple(held.values())
+                found.append(rule and dict(zip(("priority", "keyword", "category"), rule)))
+            yield b.set_column(at, b.schema.field(at), pa.array(found, kind))
+    return df.mapInArrow(run, df.schema)
+
+
+def _finder(rules: list[tuple]):
+    """A function text -> least rule whose keyword it holds."""
+    everywhere = min((r for r in rules if not r[1]), default=None)
+    rules = [r for r in rules if r[1]]
+    if not rules:
+        return lambda text: everywhere
+    try:
+        import ahocorasick
+    except ImportError:
+        ordered = sorted(rules + ([everywhere] if everywhere else []))
+        return lambda text: next((r for r in ordered if r[1] in text), None)
+    machine = ahocorasick.Automaton()
+    for r in rules:
+        machine.add_word(r[1], r)
+    machine.make_automaton()
+
+    def find(text):
+        hits = [r for _, r in machine.iter(text)]
+        return min(hits + [everywhere] if everywhere else hits, default=None)
+    return find

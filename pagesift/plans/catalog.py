@@ -279,12 +279,13 @@ def detect_language(spark, sf_dir):
 
 @query
 def category_counts(spark, sf_dir):
-    """Documents per service category of their whole text."""
-    from ..operators.summary import categorize
+    """Documents per service category of their whole text, by the table
+    of rules."""
+    from ..operators.summary import CATEGORY_RULES, categorize_by
     from ..sources.tables import read_table
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
-    return docs.groupBy(categorize(F.col("text")).alias("category")) \
-        .agg(F.count(F.lit(1)).alias("n"))
+    rules = spark.createDataFrame(CATEGORY_RULES, "category string, keyword string, priority int")
+    return categorize_by(docs, rules).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
