@@ -33,5 +33,5 @@ def test_stages_and_result(spark, tmp_path):
 
 def test_one_query_per_operator():
     numbers = sorted(int(n[2:].split("_")[0]) for n in catalog.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert set(catalog.ORACLE_SQL) <= set(catalog.QUERIES)
