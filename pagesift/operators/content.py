@@ -21,7 +21,7 @@ from ..functions.dates import NTZ, dates_in_text, first_parsable, ntz_lit, parse
 from ..functions.shred import shred_pages
 from ..functions.text import PY_WS, cut_with_ellipsis, let, py_strip
 from ..functions.urls import resolve_url
-from .dedup import first_per_key
+from .dedup import first_rows
 
 # Selectors tried in order for the title, the content area and
 # the publication date, and the JSON-LD date fields.
@@ -295,11 +295,12 @@ def extract_links_pages(links: DataFrame, pages: DataFrame, run_ts: datetime = D
 
     Of the pages of one URL the first (smallest page_id) counts, as a crawler
     fetches a link once; only pages that some link names are parsed, each
-    once.  Links without a page become failure rows.  A link's date is the
+    once.  Which page is first is settled on ids and urls; the html is read
+    for the pages that won.  Links without a page become failure rows.  A link's date is the
     given date of its page (E7).  The joins are shuffle joins on ``url``; a URL
     that very many links name is split by AQE's skew join."""
     wanted = links.select("url").distinct()
-    first = first_per_key(pages.select("page_id", "url", "html").join(wanted, "url", "left_semi"), "url", ["page_id"])
+    first = first_rows(pages.select("page_id", "url", "html"), "url", ["page_id"], only=wanted)
     fields = page_fields(first.select("url", "html"), **kw).withColumn("_found", F.lit(True))
     joined = links.select("page_id", "ordinal", "url", F.col("publication_date").alias("_given")).join(fields, "url", "left")
     return _outcome(joined, ["url", "page_id", "ordinal"], F.col("_given"), ntz_lit(run_ts), F.col("_found").isNull())

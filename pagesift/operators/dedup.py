@@ -9,6 +9,8 @@ on partitioning.
   row))`` per URL (a sort aggregate, as the struct holds strings): partial
   aggregation keeps one row per URL per task before the shuffle, so a hub URL
   with a third of all rows costs no more than any other.
+  Rows too wide for that (pages with their html) are fetched late
+  (``first_rows``): only the key and its integer order columns decide.
 * ``overwrite``: every row kept (the reference records the URLs only).
 * ``version``: the n-th copy of a URL gets `` (vN)`` on its title; positions
   come from the skew-safe two-level prefix sum in ``ranking.py``.
@@ -16,8 +18,9 @@ on partitioning.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import materialize
 from .ranking import positions
@@ -42,14 +45,60 @@ def first_per_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:
             .select(key, *[F.col("_first")[c].alias(c) for c in order + rest]))
 
 
+BELOW = "-9223372036854775809"      # less than every integer: a null comes first, as in ``min`` of a struct
+
+
+def _rank(df: DataFrame, column: str) -> Column:
+    if not isinstance(df.schema[column].dataType, T.IntegralType):
+        raise ValueError(f"{column!r} does not order by an integer")
+    wide = T.DecimalType(20, 0)
+    return F.coalesce(F.col(column).cast(wide), F.lit(BELOW).cast(wide))
+
+
+def winners(df: DataFrame, key: str, order: list[str], only: DataFrame | None = None) -> DataFrame:
+    """``(_key, _o0, _o1, ..., _n)``: per key the first place in ``order`` and
+    how many rows stand there.  Hash aggregates of fixed-width columns, one
+    order column after the other from the last; each combines before its
+    shuffle and the first is keyed by key and place, so a hot key is spread.
+    ``only`` holds the keys that are asked for."""
+    at = [f"_o{i}" for i in range(len(order))]
+    narrow = df.select(F.col(key).alias("_key"), *[_rank(df, c).alias(a) for c, a in zip(order, at)])
+    if only is not None:
+        narrow = narrow.join(only.select(F.col(key).alias("_key")), "_key", "left_semi")
+    level = narrow.groupBy("_key", *at).agg(F.count(F.lit(1)).alias("_n"))
+    for i in reversed(range(len(at))):
+        later = [*at[i + 1:], "_n"]
+        level = level.groupBy("_key", *at[:i]).agg(F.min(at[i]).alias(at[i]), *[F.min_by(c, at[i]).alias(c) for c in later])
+    return level.select("_key", *at, "_n")
+
+
+def first_rows(df: DataFrame, key: str, order: list[str], only: DataFrame | None = None) -> DataFrame:
+    """``first_per_key`` for wide rows that can be read twice (a stored
+    table): the first place of each key is found over the narrow columns
+    alone, then its row is fetched.  The fetch hashes by key and place, so a
+    hot key spreads over all tasks, and hashes the narrow side, so the wide
+    rows are never sorted.  Where several rows stand at one place, the least of
+    the rest wins, as in ``first_per_key``."""
+    best = winners(df, key, order, only)
+    at = [c for c in best.columns if c not in ("_key", "_n")]
+    place = best["_key"].eqNullSafe(F.col(f"_d.{key}"))
+    for c, a in zip(order, at):
+        place = place & (best[a] == _rank(df, c))
+    won = df.alias("_d").join(best.hint("shuffle_hash"), place)
+    once, several = won.filter("_n = 1"), won.filter("_n > 1")
+    columns = [key, *order, *[c for c in df.columns if c != key and c not in order]]
+    return once.select(*columns).unionByName(first_per_key(several.select(*columns), key, order))
+
+
 def handle_duplicates(df: DataFrame, strategy: str = "skip", key: str = "url",
                       order: list[str] | None = None, unit: str | None = None,
-                      seen: DataFrame | None = None, title: str = "title") -> DataFrame:
+                      seen: DataFrame | None = None, title: str = "title", late: bool = False) -> DataFrame:
     """Apply a duplicate strategy.
 
     ``order`` lists the ordering columns, ``unit`` (default: the first of
     them) is the coarse integer unit used for skew-safe ranking, ``seen`` is a
-    DataFrame whose ``key`` column holds URLs stored by earlier batches."""
+    DataFrame whose ``key`` column holds URLs stored by earlier batches.
+    ``late`` (skip) fetches wide rows of a stored table late."""
     check_strategy(strategy)
     order = order or ["page_id", "position"]
     if strategy == "overwrite":
@@ -57,7 +106,7 @@ def handle_duplicates(df: DataFrame, strategy: str = "skip", key: str = "url",
     if strategy == "skip":
         if seen is not None:
             df = df.join(seen.select(key).distinct(), key, "left_anti")
-        return first_per_key(df, key, order)
+        return (first_rows if late else first_per_key)(df, key, order)
     unit = unit or order[0]
     df = materialize(df)      # read for the unit counts and for the rows
     ranked = positions(df, [key], unit, [c for c in order if c != unit], name="_version")
