@@ -7,9 +7,9 @@
   ``withWatermark`` + ``dropDuplicatesWithinWatermark`` bounds that state.
 * T3: an idempotent sink via ``foreachBatch``: inside a batch the first row
   per URL wins (by the explicit order, not arrival), URLs stored by earlier
-  batches are removed with a left-anti join against a store of keys alone, and
-  the batch replaces only its own ``batch_id`` partition, so a replayed batch
-  after a failure writes the same rows again instead of duplicating them.
+  batches are removed with the help of a store of keys alone, and the batch
+  replaces only its own ``batch_id`` partition, so a replayed batch after a
+  failure writes the same rows again instead of duplicating them.
 """
 
 from __future__ import annotations
@@ -45,34 +45,100 @@ def dedup_state(stream: DataFrame, key: str = "url", event_time: str | None = No
     return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([key])
 
 
-KEY_BUCKETS = 256
-
-
-def skip_sink(path: str, key: str = "url", order: list[str] | None = None):
+FAN_IN = 8
+
+
+def key_runs(n: int, fan_in: int = FAN_IN) -> list[tuple[int, int]]:
+    """The runs (first batch, last batch) that hold the keys of the batches
+    0 .. n - 1: at most ``fan_in - 1`` of each size 1, ``fan_in``, ...  They follow
+    from ``n`` alone, so a replayed batch reads what it read the first time."""
+    runs, at = [], 0
+    while at < n:
+        size = 1
+        while at % (size * fan_in) == 0 and at + size * fan_in <= n:
+            size *= fan_in
+        runs.append((at, at + size - 1))
+        at += size
+    return runs
+
+
+def merges(n: int, fan_in: int = FAN_IN) -> list[list[tuple[int, int]]]:
+    """The groups of runs that become one run each once ``n`` batches are in,
+    smallest first."""
+    found, size = [], 1
+    while n % (size * fan_in) == 0:
+        start = n - size * fan_in
+        found.append([(at, at + size - 1) for at in range(start, n, size)])
+        size *= fan_in
+    return found
+
+
+class KeyStore:
+    """Keys of earlier batches in runs, one folder each.  A batch adds a run;
+    every ``fan_in`` runs of a size are merged into one, so a batch reads
+    at most ``fan_in - 1`` runs of each size (a logarithm of the batches) and
+    a key is rewritten once a size.  Runs are replaced as a whole, so a batch
+    that fails anywhere can be replayed."""
+
+    def __init__(self, spark: SparkSession, path: str, field: T.StructField, fan_in: int = FAN_IN):
+        if fan_in < 2:
+            raise ValueError("fan_in must be 2 or more")
+        self.spark, self.path, self.fan_in = spark, path, fan_in
+        self.schema = T.StructType([field])
+
+    def folder(self, run: tuple[int, int]) -> str:
+        return f"{self.path}/run-{run[0]}-{run[1]}"
+
+    def before(self, batch_id: int) -> DataFrame | None:
+        runs = key_runs(batch_id, self.fan_in)
+        return self.read(runs) if runs else None
+
+    def read(self, runs: list[tuple[int, int]]) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*map(self.folder, runs))
+
+    def add(self, batch_id: int, keys: DataFrame):
+        """Write the run of a batch, then the merges it completes."""
+        keys.select(*self.schema.names).write.mode("overwrite").parquet(self.folder((batch_id, batch_id)))
+        for group in merges(batch_id + 1, self.fan_in):
+            # the exchange lets the many small files of the runs become few
+            (self.read(group).repartition(*self.schema.names)
+             .write.mode("overwrite").parquet(self.folder((group[0][0], group[-1][1]))))
+
+    def retire(self, batch_id: int):
+        """Delete the runs that the batch before ``batch_id`` has merged.  Once
+        ``batch_id`` begins, the one before is committed and never replayed."""
+        for group in merges(batch_id, self.fan_in) if batch_id else []:
+            for run in group:
+                target = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder(run))
+                target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def skip_sink(path: str, key: str = "url", order: list[str] | None = None, fan_in: int = FAN_IN):
     """A ``foreachBatch`` function writing first-seen rows to ``path/rows``.
 
-    The keys stored so far lie apart from the rows, in ``path/keys``, by batch
-    and by a hash bucket of the key: a batch reads the two narrow columns of
-    the buckets its own keys fall in, not the rows.  Both tables are
+    The keys stored so far lie apart from the rows, in ``path/keys``
+    (``KeyStore``).  A batch scans that one narrow column and keeps of it what
+    its own keys name; these are few, so the store is not shuffled while the
+    batch's keys are small enough to be broadcast at run time.  ``path/rows`` is
     partitioned by ``batch_id`` and a replayed batch replaces its own
-    partition, so it leaves the sink as it was."""
+    partition, so it leaves the sink as it was.  The ids of the batches must
+    follow one another from 0, as a stream's do."""
     order = order or ["page_id", "position"]
-    keys_path, rows_path = f"{path}/keys", f"{path}/rows"
 
     def write(batch: DataFrame, batch_id: int):
-        spark = batch.sparkSession
-        bucket = F.pmod(F.xxhash64(key), F.lit(KEY_BUCKETS)).cast("int")
-        firsts = first_per_key(batch, key, order).withColumn("bucket", bucket)
-        schema = T.StructType([batch.schema[key], T.StructField("batch_id", T.LongType()), T.StructField("bucket", T.IntegerType())])
-        if batch_id > 0:
-            stored = spark.read.schema(schema).parquet(keys_path).filter(F.col("batch_id") < batch_id)
-            firsts = firsts.join(stored.select("bucket", key), ["bucket", key], "left_anti")
+        store = KeyStore(batch.sparkSession, f"{path}/keys", batch.schema[key], fan_in)
+        store.retire(batch_id)
+        firsts = first_per_key(batch, key, order)
+        stored = store.before(batch_id)
+        if stored is not None:
+            firsts = materialize(firsts)       # read for its keys and for its rows
+            known = stored.join(firsts.select(key), key, "left_semi")
+            firsts = firsts.join(known, key, "left_anti")
         firsts = materialize(firsts.withColumn("batch_id", F.lit(batch_id).cast("bigint")))
-        replace = {"partitionOverwriteMode": "dynamic"}
-        (firsts.drop("bucket").write.mode("overwrite").options(**replace).partitionBy("batch_id").parquet(rows_path))
+        (firsts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("batch_id").parquet(f"{path}/rows"))
         # keys last: a batch that fails between the two is replayed and writes both again
-        (firsts.select(key, "batch_id", "bucket").write.mode("overwrite").options(**replace)
-         .partitionBy("batch_id", "bucket").parquet(keys_path))
+        store.add(batch_id, firsts)
     return write
 
 

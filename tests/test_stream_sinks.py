@@ -68,6 +68,46 @@ def test_stream_of_several_batches_resumes_and_replays(spark, tmp_path):
     assert sorted(r.url for r in spark.read.parquet(f"{sink}/rows").collect()) == ["a", "ax", "b", "bx"]
 
 
+def test_runs_of_the_key_store():
+    from pagesift.streaming.stream import key_runs, merges
+    for fan_in in (2, 3, 8):
+        there = set()
+        for n in range(600):
+            runs = key_runs(n, fan_in)
+            assert [x for a, b in runs for x in range(a, b + 1)] == list(range(n)) and set(runs) <= there
+            sizes = [b - a for a, b in runs]
+            assert all(sizes.count(x) < fan_in for x in sizes)
+            there.add((n, n))
+            for group in merges(n + 1, fan_in):
+                assert len(group) == fan_in and set(group) <= there
+                there.add((group[0][0], group[-1][1]))
+
+
+def test_many_batches_read_few_files_and_replay(spark, tmp_path):
+    from pagesift.streaming.stream import KeyStore, skip_sink
+    sink, seen, want = f"{tmp_path}/s", set(), {}
+    write = skip_sink(sink, fan_in=3)
+    field = spark.createDataFrame([], "url string").schema["url"]
+    for b in range(21):
+        rows = [(b, i, u) for i, u in enumerate([f"u{b}", f"u{b // 2}", "hub", f"n{b % 4}"])]
+        df = spark.createDataFrame(rows, "page_id long, position long, url string").coalesce(1)
+        write(df, b)
+        if b % 5 == 2:
+            write(df, b)             # the last batch may come again
+        want[b] = sorted({u for *_, u in rows} - seen)
+        seen |= {u for *_, u in rows}
+        files = KeyStore(spark, f"{sink}/keys", field, 3).before(b + 1).inputFiles()
+        assert len(files) <= 2 * 3 * 4           # runs of 1, 3 and 9 batches, two of each at most
+    got = {}
+    for r in spark.read.parquet(f"{sink}/rows").collect():
+        got.setdefault(r.batch_id, []).append(r.url)
+    assert {b: sorted(x) for b, x in got.items()} == {b: x for b, x in want.items() if x}
+    kept = KeyStore(spark, f"{sink}/keys", field, 3).before(21)
+    assert sorted(r.url for r in kept.collect()) == sorted(seen)
+    left = {f for f in os.listdir(f"{sink}/keys") if f.startswith("run-")}
+    assert len(left) <= 3 * 3 + 3                # merged runs are deleted
+
+
 def test_content_on_a_stream_and_state(spark, tmp_path):
     from pagesift.operators.content import extract_content
     from pagesift.sources.tables import read_pages
