@@ -730,3 +730,27 @@ def stream_dedup(spark, sf_dir):
     extracted per micro-batch, first-seen URLs kept by the idempotent sink."""
     from ..streaming.stream import stream_link_dedup
     return stream_link_dedup(spark, sf_dir, glob="pages.parquet")
+
+
+@query
+def stream_dedup_batches(spark, sf_dir):
+    """T3 over four micro-batches: a stream that is started again for each
+    arrival of pages; all pages arrive, dealt by id."""
+    from ..streaming.stream import stream_link_dedup
+    arrivals, incoming, name = _folder(spark, "arrivals"), _folder(spark, "incoming"), uuid.uuid4().hex
+    (read_pages(spark, sf_dir).withColumn("arrival", F.pmod("page_id", F.lit(4)))
+     .write.partitionBy("arrival").parquet(arrivals))
+    for i in range(4):
+        spark.read.parquet(f"{arrivals}/arrival={i}").write.mode("append").parquet(incoming)
+        out = stream_link_dedup(spark, incoming, name=name)
+    return out
+
+
+@query
+def first_pages(spark, sf_dir):
+    """D1 on a stored table of wide rows: the first page of each host, its
+    html fetched once the ids have settled which it is."""
+    from ..operators.dedup import handle_duplicates
+    pages = read_pages(spark, sf_dir).withColumn("host", F.regexp_extract("url", "^[A-Za-z][A-Za-z0-9+.\\-]*://([^/?#]*)", 1))
+    rows = handle_duplicates(pages, "skip", key="host", order=["page_id"], late=True)
+    return rows.select("host", "page_id", "url", F.length("html").cast("bigint").alias("n_chars"), F.md5("html").alias("html_md5"))
