@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -23,6 +24,9 @@ BASE_CONF = {
 }
 
 
+LOCAL = re.compile(r"local(\[.*\])?")       # one process; local-cluster[...] is not
+
+
 def get_session(master: str | None = None, app: str = "pagesift",
                 shuffle_partitions: int | None = None,
                 extra: dict | None = None) -> SparkSession:
@@ -30,7 +34,7 @@ def get_session(master: str | None = None, app: str = "pagesift",
     if master:
         builder = builder.master(master)
     conf = dict(BASE_CONF)
-    if master and master.startswith("local"):
+    if master and LOCAL.fullmatch(master):
         conf["spark.driver.memory"] = "8g"   # local mode: the driver JVM runs the tasks
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
@@ -70,7 +74,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
-        if not spark.sparkContext.master.startswith("local"):
+        if not LOCAL.fullmatch(spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="pagesift-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", d)
