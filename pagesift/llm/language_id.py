@@ -27,10 +27,10 @@ of a row are never inputs of its prediction.
 from __future__ import annotations
 
 import itertools
-import re
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,7 +45,7 @@ RESCALE = 8               # steps between rescalings; emissions are cut at exp(-
 MOST = 60.0
 WORD_CACHE = 150_000
 UNKNOWN = "und"
-WORDS = re.compile(r"[^\W\d_]+")
+WORDS = regex.compile(r"\p{L}+")          # letters by category: no ², ½ or Ⅷ
 
 
 def held_out(doc_id: Column) -> Column:
@@ -286,10 +286,14 @@ class Tagger:
 def sample(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE) -> DataFrame:
     """The bounded training sample: ``rows`` rows of each language, whole texts."""
     keys = docs.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select(
-        "lang", "doc_id", F.xxhash64("doc_id").alias("h"))
-    first = Window.partitionBy("lang").orderBy("h", "doc_id")
-    few = keys.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= rows).select("lang", "doc_id").distinct()
-    return docs.join(F.broadcast(few), ["lang", "doc_id"], "left_semi").select("doc_id", "text", "lang")
+        F.col("lang").alias("_lang"), F.col("doc_id").alias("_id"), F.xxhash64("doc_id").alias("_h"))
+    few = (keys.withColumn("_n", F.row_number().over(Window.partitionBy("_lang").orderBy("_h", "_id")))
+           .filter(F.col("_n") <= rows).select("_lang", "_id").distinct())
+    found = (docs.join(F.broadcast(few), (F.col("lang") == F.col("_lang")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+             .select("doc_id", "text", "lang"))
+    # a doc_id may come any number of times
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
+    return found.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= rows).drop("_n")
 
 
 def predict(docs: DataFrame, train: DataFrame | None = None) -> DataFrame:

@@ -73,3 +73,20 @@ def test_odd_rows(odd, none, fitted):
     assert kept.columns == odd.columns
     assert {r.doc_id for r in kept.collect()} >= {4, 5}
     assert not {r.doc_id for r in kept.collect()} & {1, 2, 3, 8, 9}
+
+
+def test_letters_are_letters_by_category(fitted, spark):
+    assert G.Tagger(G.fit(["the house"], ["en"])).predict(["½ ² ① Ⅷ 12 _", ""]) == (["und", "und"], [0.0, 0.0])
+    docs, _ = fitted
+    odd = spark.createDataFrame([(1, "½ ² ① Ⅷ"), (2, "the m² of the house")], "doc_id long, text string").withColumn("lang", F.lit(None).cast("string"))
+    by = {r.doc_id: r for r in G.predict(odd, train=docs).collect()}
+    assert (by[1].lang_pred, by[1].score) == ("und", 0.0) and by[2].lang_pred != "und"
+
+
+def test_sample_is_bounded_and_null_ids_train(spark):
+    rows = [(None, f"no id {i}", "en") for i in range(9)] + [(1, f"again {i}", "de") for i in range(40)] + [(1, "same", "fr")] * 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    got = G.sample(docs, 5).collect()
+    assert sorted(r.lang for r in got) == ["de"] * 5 + ["en"] * 5 + ["fr"] * 5
+    assert sorted(r.text for r in got if r.lang == "en") == [f"no id {i}" for i in range(5)]
+    assert sorted(map(str, G.sample(docs.coalesce(1), 5).collect())) == sorted(map(str, got))
