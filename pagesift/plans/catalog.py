@@ -726,10 +726,11 @@ def largest_block(spark, sf_dir):
 # -- streaming ------------------------------------------------------------------------
 @query
 def stream_dedup(spark, sf_dir):
-    """The pages file read as a stream (available-now trigger), links
+    """The pages table (one file or a folder of files) read as a stream (available-now trigger), links
     extracted per micro-batch, first-seen URLs kept by the idempotent sink."""
     from ..streaming.stream import stream_link_dedup
-    return stream_link_dedup(spark, sf_dir, glob="pages.parquet")
+    # a pattern, as a stream takes a single file only by one
+    return stream_link_dedup(spark, f"{sf_dir.rstrip('/')}/pages.parque[t]", glob="*")
 
 
 @query

@@ -30,7 +30,8 @@ PAGES_SCHEMA = T.StructType([T.StructField("page_id", T.LongType()),
 
 def read_page_stream(spark: SparkSession, directory: str, glob: str = "*.parquet",
                      max_files_per_trigger: int | None = None) -> DataFrame:
-    """Parquet files of crawled pages arriving in ``directory`` (T1 source)."""
+    """Parquet files of crawled pages arriving in ``directory`` (T1 source); a
+    pattern may stand for it."""
     r = spark.readStream.schema(PAGES_SCHEMA).option("pathGlobFilter", glob)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
@@ -156,6 +157,9 @@ def run_available(stream: DataFrame, sink_fn, name: str) -> str:
     return ckpt
 
 
+ROWS = "url string, page_id bigint, position bigint, title string, batch_id bigint"
+
+
 def stream_link_dedup(spark: SparkSession, directory: str, glob: str = "*.parquet",
                       max_files_per_trigger: int | None = None, name: str | None = None) -> DataFrame:
     """T1 + T3: pages streamed from files -> links -> first-seen URLs.  Returns
@@ -170,4 +174,8 @@ def stream_link_dedup(spark: SparkSession, directory: str, glob: str = "*.parque
         F.col("text").alias("title"))
     sink = f"{checkpoint_dir(spark).rstrip('/')}/sinks/{name}"
     run_available(links, skip_sink(sink), name)
-    return spark.read.parquet(f"{sink}/rows")
+    # a stream that had no page has written no row
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{sink}/rows")
+    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+        return spark.createDataFrame([], ROWS)
+    return spark.read.schema(ROWS).parquet(f"{sink}/rows")

@@ -157,3 +157,13 @@ def test_contract(spark):
     df = E.entry(spark)
     assert df.count() > 0 and "content_text" in df.columns
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+def test_stream_dedup_reads_a_table_of_several_files(spark, tmp_path):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    pages.repartition(3).write.parquet(f"{tmp_path}/many/pages.parquet")
+    pages.limit(0).write.parquet(f"{tmp_path}/none/pages.parquet")
+    found, want = (sorted(map(tuple, catalog.stream_dedup(spark, d).select("url", "page_id", "position", "title").collect()))
+                   for d in (f"{tmp_path}/many", SF))
+    assert found == want and want
+    assert catalog.stream_dedup(spark, f"{tmp_path}/none").collect() == []
