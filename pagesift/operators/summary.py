@@ -124,9 +124,11 @@ CJK = "[\\x{4E00}-\\x{9FFF}]"
 
 def cjk_ratio(text: Column) -> Column:
     """Share of CJK ideographs among the non-blank characters."""
-    nonblank = F.length(F.regexp_replace(text, PY_WS, ""))
-    cjk = F.length(F.regexp_replace(text, "[^\\x{4E00}-\\x{9FFF}]", ""))
-    return F.when(nonblank > 0, cjk / nonblank).otherwise(F.lit(0.0))
+    # whole runs are replaced, as each replacement copies; plain ASCII holds none
+    nonblank = F.length(F.regexp_replace(text, PY_WS + "++", ""))
+    cjk = F.length(F.regexp_replace(text, "[^\\x{4E00}-\\x{9FFF}]++", ""))
+    return (F.when(F.octet_length(text) == F.length(text), F.lit(0.0))
+            .when(cjk == 0, F.lit(0.0)).when(nonblank > 0, cjk / nonblank).otherwise(F.lit(0.0)))
 
 
 def detect_language(text: Column, threshold: float = 0.10) -> Column:

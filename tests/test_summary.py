@@ -45,3 +45,18 @@ def test_one_decimal_prints_like_the_exact_value(spark):
 def test_language_is_compared_exactly(spark):
     df = spark.createDataFrame([("zh",), ("chinese",), ("ZH",), (None,)], "lang string")
     assert [r[0] for r in df.select(normalize_language(F.col("lang"))).collect()] == ["zh", "zh", "en", "en"]
+
+
+def test_language_share_character_by_character(spark):
+    import random
+
+    from pagesift.operators.summary import cjk_ratio
+    rng = random.Random(2)
+    texts = [None, "", "  ", "a b", "中", "　", "　中a", "\U00020000中", "ü ß"]
+    texts += ["".join(rng.choice("a b\n　中文ü\U00020000一鿿ꀀ\x1c") for _ in range(rng.randint(0, 12))) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", cjk_ratio(F.col("text")).alias("x"))
+    for r in df.collect():
+        solid = [c for c in texts[r.i] or "" if not c.isspace()]
+        assert r.x == (sum("一" <= c <= "鿿" for c in solid) / len(solid) if solid else 0.0)
+    # one replacement for each run of other characters, not for each character
+    assert "9FFF}]++" in df._jdf.queryExecution().toString()
