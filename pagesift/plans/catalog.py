@@ -326,10 +326,8 @@ BASE = "https://www.amazonaws.cn/en/new/"
 
 
 def _orders(spark, sf_dir, *cols):
-    from ..sources.tables import PAGE_PARTITIONS, read_table
-    orders = read_table(spark, sf_dir, "orders", *cols)
-    partitions = int(spark.conf.get(PAGE_PARTITIONS, "0"))     # pages are made of them
-    return orders.repartition(partitions) if partitions else orders
+    from ..sources.tables import deal_rows, read_table
+    return deal_rows(read_table(spark, sf_dir, "orders", *cols))     # pages are made of them
 
 
 def _k(c="o_orderkey"):
@@ -536,10 +534,16 @@ def full_run(spark, sf_dir):
 
 
 # -- sinks, written and read back ---------------------------------------------------
-def _order_results(spark, sf_dir, where="true"):
-    """(content, failures) of the announcement pages of orders, links included."""
+def _order_extraction(spark, sf_dir, where="true"):
+    """The announcement pages of orders, links included."""
     o = _orders(spark, sf_dir, "o_orderkey", "o_custkey").filter(where)
-    return split_results(extract_content(_announcements(o, "true")))
+    return extract_content(_announcements(o, "true"))
+
+
+def _order_results(spark, sf_dir):
+    """(content, failures) of the announcement pages of orders: both are kept,
+    so the extraction they are the halves of is written once."""
+    return split_results(materialize(_order_extraction(spark, sf_dir)))
 
 
 def _folder(spark, name):
@@ -585,7 +589,7 @@ def sink_partitions(spark, sf_dir):
     from ..sinks.report import read_runs, write_partition
     path, first, second = _folder(spark, "runs"), datetime(2026, 1, 1), datetime(2026, 2, 1)
     for run, where in ((first, "true"), (second, "o_orderkey % 2 = 0"), (second, "o_orderkey % 2 = 1")):
-        write_partition(_order_results(spark, sf_dir, where)[0], path, run)
+        write_partition(split_results(_order_extraction(spark, sf_dir, where))[0], path, run)
     return read_runs(spark, path).groupBy("run", "language").agg(
         F.count(F.lit(1)).alias("n"), F.min("title").alias("least_title"))
 

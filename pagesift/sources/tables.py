@@ -26,3 +26,16 @@ def read_pages(spark: SparkSession, sf_dir: str, partitions: int | None = None)
     df = read_table(spark, sf_dir, "pages", "page_id", "url", "html")
     partitions = partitions or int(spark.conf.get(PAGE_PARTITIONS, "0"))
     return df.repartition(partitions) if partitions else df
+
+
+def deal_rows(df: DataFrame) -> DataFrame:
+    """Narrow rows that become pages, dealt over all cores.  A row of a few bytes
+    turns into pages that take a thousand times as long to parse as it takes to
+    read, so the scan's splits, which follow bytes and row groups, would leave most
+    cores idle.  The session setting ``PAGE_PARTITIONS`` names another number."""
+    spark = df.sparkSession
+    partitions = int(spark.conf.get(PAGE_PARTITIONS, "0")) or max(LEAST_DEAL, 4 * spark.sparkContext.defaultParallelism)
+    return df.repartition(partitions)
+
+
+LEAST_DEAL = 48        # executors may come after the plan is made
