@@ -39,3 +39,15 @@ def test_plain_tags_are_read_as_the_tokenizer_reads_them():
         slow.finish()
         assert [fast.kind, fast.tag, fast.attrs, fast.text, fast.end, fast.parent] == [
             slow.kind, slow.tag, slow.attrs, slow.text, slow.end, slow.parent]
+
+
+def test_plain_pages_never_reach_the_tokenizer(monkeypatch):
+    from pagesift.functions import shred as S
+    fed = []
+    monkeypatch.setattr(S._TreeBuilder, "feed", lambda self, text: fed.append(text))
+    page = '<html><title>T</title><script type="application/ld+json">{"a": 1}</script><p class="a">x<br>y</p></html>'
+    b = shred_one(page)[0]
+    assert not fed and b.tag[1:] == ["html", "title", None, "script", None, "p", None, "br", None]
+    assert S.page_index(b) is S.page_index(b)
+    shred_one("<p>x &amp; y</p>")
+    assert fed == ["&amp; y</p>"]
