@@ -8,15 +8,21 @@ no level, so the decision is a quantile of the strengths: the threshold leaves
 that share of the labelled documents below it that all training labels give the
 label 0.  The score is a logistic curve of the strength through ``CUT`` at the
 threshold, with the slope of least logistic loss, so ``score >= CUT`` and
-``strength >= threshold`` are the same.  Threshold and slope come from every
-fifth document of the sample, which w has not seen.
+``strength >= threshold`` are the same.  Threshold and slope come from a fifth
+of the training documents, which w has not seen.
 
 Features describe the whole text: shares of byte classes and of their
 neighbourhoods, word and line lengths, repetition of words, word pairs and
-lines, hashed word shapes and hashed words.  They are computed in tasks; only
-those of the bounded sample (``ROWS_PER_LABEL`` documents of each label, first in
-the order of a hash of doc_id) reach the driver, as vectors, never as texts.
-Shares of labels are counted over all training labels.
+lines, hashed word shapes and hashed words.
+
+All training documents train.  Their vectors are made in tasks and kept as
+blocks of about ``BLOCK`` documents, dealt by a hash of doc_id, so the blocks do
+not depend on the number of tasks; a document is paired inside its block (a
+block short of one label borrows documents of it).  Every step of the descent
+is a pass over all blocks, of which one sum a task reaches the driver.  A
+bounded sample (``ROWS_PER_LABEL`` documents of each label, first in the order of
+a hash of doc_id) only gives the weights the descent starts from.  The quantile
+is found by counts in ever finer bins.  Texts never reach the driver.
 
 Defined results: null or empty texts have the zero vector, which has a score
 like any other; doc_ids labelled both 0 and 1 and labels other than 0 and 1 do
@@ -36,9 +42,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts_of
+from .common import slices, stage, texts_of
+from .exact_dedup import mark_candidates, repeated_filter
 
-ROWS_PER_LABEL = 2000   # documents of the training sample with each label
+ROWS_PER_LABEL = 2000   # documents of the sample with each label
+BLOCK = 1024            # training documents to a block
+TASKS = 2000            # most partitions that make blocks
+PASSES = 80             # most passes over all blocks
+LEAST_GAIN = 1e-4       # of the loss: a step that gains less is the last
+BINS = 4096             # of a histogram of strengths
 OPPONENTS = 16          # pairs of each document
 STEPS = 400
 DECAY = 1e-4
@@ -184,22 +196,246 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def sample(docs: DataFrame, labels: DataFrame, rows: int = ROWS_PER_LABEL) -> tuple[DataFrame, float]:
-    """(doc_id, quality, text) of the bounded training sample, and the share
-    of the label 0 among all training labels."""
+def labelled(labels: DataFrame) -> DataFrame:
+    """(doc_id, quality) of the documents that train."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
-    each = known.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).filter("quality = other").drop("other")
-    counts = {r.quality: r.n for r in each.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return known.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).filter("quality = other").drop("other")
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+
+
+def _counts(each: DataFrame) -> dict[int, int]:
+    return {int(r.quality): r.n for r in each.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
+def _apart(doc_id: Column) -> Column:
+    """Documents that set threshold and slope and train no weight."""
+    return F.pmod(F.xxhash64(F.lit(5), doc_id), F.lit(5)) == 4
+
+
+def _first(docs: DataFrame, each: DataFrame, rows: int) -> DataFrame:
     first = [each.filter(F.col("quality") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for y in (0, 1)]
-    few = first[0].unionByName(first[1])
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(few), "doc_id")
-    one = texts.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
-    return one, counts.get(0, 0) / max(1, sum(counts.values()))
+    texts = _texts(docs).join(F.broadcast(first[0].unionByName(first[1])), "doc_id")
+    return texts.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+
+
+def sample(docs: DataFrame, labels: DataFrame, rows: int = ROWS_PER_LABEL) -> tuple[DataFrame, float]:
+    """(doc_id, quality, text) of the bounded sample, and the share of the
+    label 0 among all training labels."""
+    each = labelled(labels)
+    counts = _counts(each)
+    return _first(docs, each, rows), counts.get(0, 0) / max(1, sum(counts.values()))
+
+
+def blocks_of(docs: DataFrame, each: DataFrame, n: int) -> DataFrame:
+    """(block, y, apart, x): the vectors of all documents of ``each(doc_id,
+    quality)``, of which there are ``n``, in blocks that follow from doc_id.
+    Texts without a label are left out by a filter before they are shuffled."""
+    blocks = max(1, -(-n // BLOCK))
+    bloom, cells = repeated_filter(each.select(F.col("doc_id").cast("string").alias("key")), "key", n, least=1)
+    texts = mark_candidates(_texts(docs).withColumn("key", F.col("doc_id").cast("string")), "key", bloom, cells).filter("__maybe")
+    block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")
+    rows = (texts.select("doc_id", "text").join(each, "doc_id").withColumn("block", block)
+            .repartition(min(blocks, TASKS), "block").groupBy("block", "doc_id", "quality").agg(F.min("text").alias("text"))
+            .sortWithinPartitions("block", "doc_id")
+            .select("block", F.col("quality").cast("int").alias("y"), _apart(F.col("doc_id")).alias("apart"), "text"))
+
+    def run(batches):
+        block, held = None, []
+
+        def whole():
+            y, apart, x = (np.concatenate(c) for c in zip(*held))
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), *(pa.array([d], pa.binary()) for d in (
+                y.astype(np.uint8).tobytes(), apart.astype(np.uint8).tobytes(), pa.compress(x.tobytes(), codec="zstd", asbytes=True)))],
+                ["block", "y", "apart", "x"])
+        for b in slices(batches, "text"):
+            for k in range(0, b.num_rows, DOCS_AT_A_TIME):
+                part = b.slice(k, DOCS_AT_A_TIME)
+                x = features(texts_of(part))
+                of, y, apart = (part.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+                ends = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
+                for i, j in zip(ends, ends[1:]):
+                    if held and of[i] != block:
+                        yield whole()
+                        held = []
+                    block = int(of[i])
+                    held.append((y[i:j], apart[i:j], x[i:j]))
+        if held:
+            yield whole()
+
+    return stage(rows.mapInArrow(run, "block int, y binary, apart binary, x binary"), "vectors")
+
+
+def _moments(y, apart, x):
+    """Rows of each label, sums and squares, of those that train weights and those apart."""
+    parts = [np.flatnonzero(apart == k) for k in (0, 1)]
+    return (np.array([np.bincount(y[p], minlength=2) for p in parts], np.float64),
+            np.array([x[p].sum(axis=0) for p in parts]), np.array([(x[p] ** 2).sum(axis=0) for p in parts]))
+
+
+class Blocks:
+    """The staged blocks, and sums over them that come together on the driver,
+    one row a task."""
+
+    def __init__(self, table: DataFrame):
+        self.table, self.spare, self.every = table, {}, False
+        n, total, square = self._sum(_moments, ((2, 2), (2, WIDTH), (2, WIDTH)))
+        self.counts = n.sum(axis=0)                      # of each label
+        self.every = n.min() == 0                        # too few for a part of their own
+        seen = slice(None) if self.every else slice(0, 1)
+        rows = max(1.0, n[seen].sum())
+        self.of_apart = self.counts if self.every else n[1]
+        self.centre = total[seen].sum(axis=0) / rows
+        self.scale = np.sqrt(np.maximum(0, square[seen].sum(axis=0) / rows - self.centre ** 2)) + 0.01
+
+    def _sum(self, fn, shapes):
+        """``fn(y, apart, x)`` of every block, summed; its arrays have ``shapes``."""
+        def run(batches):
+            first, found = None, [np.zeros(s) for s in shapes]
+            for block, y, apart, x in _unpacked(batches):
+                first = block if first is None else first
+                for into, more in zip(found, fn(y, apart, x)):
+                    into += more
+            if first is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([first], pa.int32()), pa.array([np.concatenate([f.ravel() for f in found]).tobytes()], pa.binary())],
+                                                 ["first", "sums"])
+        rows = sorted(self.table.mapInArrow(run, "first int, sums binary").collect(), key=lambda r: r.first)
+        whole = sum((np.frombuffer(r.sums) for r in rows), np.zeros(sum(int(np.prod(s)) for s in shapes)))
+        ends = np.cumsum([int(np.prod(s)) for s in shapes])
+        return [c.reshape(s) for c, s in zip(np.split(whole, ends[:-1]), shapes)]
+
+    def loss(self, w: np.ndarray, decay: float = DECAY) -> tuple[float, np.ndarray]:
+        """Mean logistic loss over the pairs of all blocks, with its gradient."""
+        raw, spare, every = w / self.scale, self.spare, self.every
+
+        def block(y, apart, x):
+            if not every:
+                y, x = y[apart == 0], x[apart == 0]
+            for label, more in spare.items():            # the block is short of a label
+                lacks = max(0, OPPONENTS - int((y == label).sum()))
+                y, x = np.append(y, np.full(len(more[:lacks]), label)), np.concatenate([x, more[:lacks]])
+            good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+            if not len(good) or not len(bad):
+                return np.zeros(2), np.zeros(WIDTH)
+            first, second = preference_pairs(good, bad)
+            strength = x @ raw
+            lead = strength[first] - strength[second]
+            pull = _sigmoid(-lead)
+            each = np.bincount(second, pull, len(x)) - np.bincount(first, pull, len(x))
+            return np.array([np.logaddexp(0, -lead).sum(), len(first)]), x.T @ each
+        (total, pairs), g = self._sum(block, ((2,), (WIDTH,)))
+        return total / pairs + 0.5 * decay * float(w @ w), g / self.scale / pairs + decay * w
+
+    def strengths(self, w: np.ndarray) -> DataFrame:
+        """(y, s) of the documents that set threshold and slope."""
+        raw, centre, every = w / self.scale, self.centre, self.every
+
+        def run(batches):
+            for _, y, apart, x in _unpacked(batches):
+                rows = slice(None) if every else apart == 1
+                yield pa.RecordBatch.from_arrays([pa.array(y[rows].astype(np.int32)), pa.array((x[rows] - centre) @ raw)], ["y", "s"])
+        return stage(self.table.mapInArrow(run, "y int, s double"), "strengths")
+
+
+def _unpacked(batches):
+    for b in batches:
+        for i in range(b.num_rows):
+            block, y, apart, x = (c[i].as_py() for c in b.columns)
+            y = np.frombuffer(y, np.uint8).astype(np.int64)
+            x = pa.decompress(x, 4 * WIDTH * len(y), codec="zstd", asbytes=True)
+            yield block, y, np.frombuffer(apart, np.uint8), np.frombuffer(x, np.float32).reshape(-1, WIDTH).astype(np.float64)
+
+
+def descend(loss, w: np.ndarray, passes: int = PASSES, gain: float = LEAST_GAIN, memory: int = 10) -> np.ndarray:
+    """The least of ``loss(w) -> (value, gradient)`` by limited-memory
+    quasi-Newton steps, each halved until the value falls."""
+    value, g = loss(w)
+    used, steps = 1, []
+    while used < passes:
+        d, kept = -g, []
+        for s, y in reversed(steps):
+            a = (s @ d) / (s @ y)
+            d, kept = d - a * y, [a, *kept]
+        d = d * ((steps[-1][0] @ steps[-1][1]) / (steps[-1][1] @ steps[-1][1]) if steps else 1 / max(1.0, np.linalg.norm(g)))
+        for (s, y), a in zip(steps, kept):
+            d = d + (a - (y @ d) / (s @ y)) * s
+        size, found = 1.0, None
+        while used < passes and found is None:
+            new = w + size * d
+            v, h = loss(new)
+            used += 1
+            found = (new, v, h) if v <= value + 1e-4 * size * (g @ d) else None
+            size /= 2
+            if size < 1e-6:
+                return w
+        if found is None:
+            break
+        new, v, h = found
+        if (new - w) @ (h - g) > 0:
+            steps = [*steps, (new - w, h - g)][-memory:]
+        last = value - v < gain * value
+        w, value, g = new, v, h
+        if last:
+            break
+    return w
+
+
+def quantile(strengths: DataFrame, weight: dict[int, float], share: float, few: int = BINS) -> float:
+    """``share_quantile`` of ``strengths(y, s)`` whose rows weigh ``weight[y]``:
+    counts in bins of the bin that holds it, until that has ``few`` rows."""
+    low, high = strengths.agg(F.min("s"), F.max("s")).first()
+    below, beyond = 0.0, high                            # weight below ``low``; the next strength above ``high``
+    while True:
+        part = strengths.filter(F.col("s").between(low, high))
+        width = (high - low) / BINS
+        of = F.least(F.floor((F.col("s") - low) / width), F.lit(BINS - 1)) if width > 0 else F.lit(0)
+        bins = sorted(part.groupBy(of.alias("bin")).agg(
+            F.count(F.when(F.col("y") == 0, 1)).alias("n0"), F.count(F.when(F.col("y") == 1, 1)).alias("n1"),
+            F.min("s").alias("low"), F.max("s").alias("high")).collect(), key=lambda r: r.low)
+        for k, r in enumerate(bins):
+            held = r.n0 * weight[0] + r.n1 * weight[1]
+            if below + held >= share or k == len(bins) - 1:
+                break
+            below += held
+        beyond = bins[k + 1].low if k + 1 < len(bins) else beyond
+        low, high = r.low, r.high
+        if low == high:                                  # all alike: the last of them has the next strength above it
+            last = below + held - max(weight.values()) < share
+            return float((low + (beyond if last else low)) / 2)
+        if r.n0 + r.n1 <= few:
+            break
+    rows = sorted((s, y) for y, s in strengths.filter(F.col("s").between(low, high)).collect())
+    s = np.array([x[0] for x in rows] + [beyond])
+    k = min(int(np.searchsorted(below + np.cumsum([weight[y] for _, y in rows]), share)), len(rows) - 1)
+    return float((s[k] + s[k + 1]) / 2)
+
+
+def _slope(strengths: DataFrame, weight: dict[int, float], threshold: float, level: float) -> float:
+    """The slope of least logistic loss over all ``strengths``."""
+    tried = np.geomspace(1e-3, 1e2, 61)
+
+    def run(batches):
+        total = np.zeros(len(tried))
+        for b in batches:
+            y, s = (c.to_numpy() for c in b.columns)
+            each = np.where(y == 0, weight[0], weight[1])
+            total += [float((each * np.logaddexp(0, np.where(y == 1, -1, 1) * ((s - threshold) * k + level))).sum()) for k in tried]
+        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["losses"])
+    found = sorted(r.losses for r in strengths.mapInArrow(run, "losses array<double>").collect())
+    return float(tried[np.argmin(np.sum(found, axis=0))])
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS_PER_LABEL) -> dict | None:
-    """Fit on the bounded sample; vectors are made in tasks."""
-    few, share_bad = sample(docs, labels, rows)
+    """The model of all training documents, from the weights of a bounded sample."""
+    each = stage(labelled(labels), "labelled")
+    counts = _counts(each)
+    if len(counts) < 2:
+        return None
+    blocks = Blocks(blocks_of(docs, each, sum(counts.values())))
+    if blocks.counts.min() == 0:
+        return None
 
     def run(batches):
         for b in slices(batches, "text"):
@@ -207,13 +443,24 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS_PER_LABEL) -> dic
                 part = b.slice(k, DOCS_AT_A_TIME)
                 x = features(texts_of(part))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array([v.tobytes() for v in x], pa.binary())], ["doc_id", "quality", "x"])
+                    [*part.columns[:3], pa.array([v.tobytes() for v in x], pa.binary())], ["doc_id", "quality", "apart", "x"])
 
-    kind = labels.schema["quality"].dataType.simpleString()
-    found = few.select(F.col("doc_id").cast("string").alias("doc_id"), "quality", "text").mapInArrow(run, f"doc_id string, quality {kind}, x binary").collect()
-    found.sort(key=lambda r: (zlib.crc32(r.doc_id.encode()), r.doc_id))
+    few = _first(docs, each, rows).select(F.col("doc_id").cast("string").alias("doc_id"), F.col("quality").cast("int").alias("quality"),
+                                          _apart(F.col("doc_id")).alias("apart"), "text")
+    found = few.mapInArrow(run, "doc_id string, quality int, apart boolean, x binary").collect()
+    found = sorted((r for r in found if blocks.every or not r.apart), key=lambda r: (zlib.crc32(r.doc_id.encode()), r.doc_id))
     x = np.array([np.frombuffer(r.x, np.float32) for r in found]).reshape(len(found), WIDTH)
-    return fit(x, np.array([int(r.quality) for r in found]), share_bad)
+    y = np.array([r.quality for r in found], np.int64)
+    start = fit(x, y)
+    if sum(counts.values()) > BLOCK:
+        blocks.spare = {k: x[y == k][:OPPONENTS].astype(np.float64) for k in (0, 1)}
+    w = descend(blocks.loss, np.zeros(WIDTH) if start is None else start["weights"] * blocks.scale)
+    share_bad, level = counts[0] / sum(counts.values()), float(np.log(CUT / (1 - CUT)))
+    weight = {k: float(s / n) for k, s, n in zip((0, 1), (share_bad, 1 - share_bad), blocks.of_apart)}
+    strengths = blocks.strengths(w)
+    threshold = quantile(strengths, weight, share_bad)
+    return {"centre": blocks.centre, "weights": w / blocks.scale, "threshold": threshold,
+            "slope": _slope(strengths, weight, threshold, level), "level": level}
 
 
 def classify(docs: DataFrame, labels: DataFrame, rows: int = ROWS_PER_LABEL) -> DataFrame:

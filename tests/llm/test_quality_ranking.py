@@ -97,3 +97,73 @@ def test_sample_follows_the_documented_bound(spark):
     rows = few.collect()
     assert len(rows) == 40 and not any(zlib.crc32(str(r.doc_id).encode()) % 5 == 0 for r in rows)
     assert share == pytest.approx(2 / 3, abs=0.06)
+
+
+def test_all_labels_train_not_the_sample(spark):
+    """One clean word of many tells the label: five documents of each label cannot show them all."""
+    rng = random.Random(4)
+    rows = [(i, " ".join([f"{'good' if i % 2 else 'bad'}{rng.randrange(40)}", *(f"w{rng.randrange(50)}" for _ in range(8))])) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "CAST(doc_id % 2 AS INT) AS quality")
+    before = Q.BLOCK
+    Q.BLOCK = 300                                    # several blocks
+    try:
+        got = [r for r in Q.classify(docs, labels, 5).collect() if r.held_out]
+    finally:
+        Q.BLOCK = before
+    assert len(got) > 200 and auc([r.score for r in got], [r.doc_id % 2 for r in got]) > 0.97
+
+
+def test_blocks_hold_every_training_document_once(spark):
+    rows = [(i, f"text {i} of many") for i in range(400)]
+    docs = spark.createDataFrame(rows + rows[:50] + [(7, "a smaller text")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 10 == 1)) for i in range(390)] + [(3, 0), (999, 1)], "doc_id long, quality int")
+    each = Q.labelled(labels)
+    before = Q.BLOCK
+    Q.BLOCK = 50
+    try:
+        table = Q.blocks_of(docs, each, each.count())
+    finally:
+        Q.BLOCK = before
+    found = [(b, y, a, x) for b, ys, apart, xs in Q._unpacked(table.toArrow().to_batches()) for y, a, x in zip(ys, apart, xs) for b in [b]]
+    train = [i for i in range(390) if zlib.crc32(str(i).encode()) % 5]
+    texts = dict(rows) | {7: "a smaller text"}
+    want = sorted((i % 10 == 1, x.tobytes()) for i, x in zip(train, Q.features([texts[i] for i in train]).astype(float)))
+    assert sorted((bool(y), x.tobytes()) for _, y, _, x in found) == want and len({b for b, *_ in found}) > 4
+    blocks = Q.Blocks(table)
+    assert not blocks.every and blocks.counts.sum() == len(train)
+    rng = np.random.default_rng(2)
+    blocks.spare = {1: np.array([x for _, y, a, x in found if y == 1 and not a])[:4]}       # most blocks lack the label 1
+    w, d = rng.normal(size=(2, Q.WIDTH)) * 0.01
+    value, g = blocks.loss(w)
+    assert (blocks.loss(w + 1e-4 * d)[0] - blocks.loss(w - 1e-4 * d)[0]) / 2e-4 == pytest.approx(g @ d, rel=1e-4)
+    x = np.array([x for _, _, a, x in found if not a])
+    assert np.allclose(blocks.centre, x.mean(axis=0)) and np.allclose(blocks.scale, x.std(axis=0) + 0.01)
+
+
+def test_descent_reaches_the_least_loss():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 3))
+    y = x @ [1.0, -2.0, 0.0] + rng.normal(size=60) > 0
+    d = x[y][:, None] - x[~y][None]
+    d = d.reshape(-1, 3)
+
+    def loss(w):
+        z = d @ w
+        return np.logaddexp(0, -z).mean() + 0.005 * w @ w, -((1 / (1 + np.exp(z)))[:, None] * d).mean(axis=0) + 0.01 * w
+    w = Q.descend(loss, np.zeros(3), gain=1e-9)
+    assert np.abs(loss(w)[1]).max() < 1e-3
+
+
+def test_quantile_by_bins_equals_the_sorted_one(spark):
+    rng = np.random.default_rng(1)
+    for k, s in enumerate([rng.normal(size=500), np.exp(20 * rng.normal(size=300)), np.arange(7.0)]):
+        y = rng.integers(0, 2, len(s))
+        y[:2] = 0, 1
+        df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(y, s)], "y int, s double").coalesce(2)
+        for share in (0.02, 0.5, 0.99) if k < 2 else (0.3, 1.0):
+            weight = {0: share / (y == 0).sum(), 1: (1 - share) / (y == 1).sum()}
+            want = Q.share_quantile(s, np.where(y == 0, weight[0], weight[1]), share)
+            assert Q.quantile(df, weight, share, few=3) == pytest.approx(want)
+    same = spark.createDataFrame([(0, 1.0)] * 50 + [(1, 2.0)] * 50, "y int, s double")
+    assert Q.quantile(same, {0: 0.01, 1: 0.01}, 0.3, few=3) == 1.0 and Q.quantile(same, {0: 0.01, 1: 0.01}, 0.5, few=3) == 1.5
