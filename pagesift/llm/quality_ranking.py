@@ -232,15 +232,19 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = ROWS_PER_LABEL) -> tu
 def blocks_of(docs: DataFrame, each: DataFrame, n: int) -> DataFrame:
     """(block, y, apart, x): the vectors of all documents of ``each(doc_id,
     quality)``, of which there are ``n``, in blocks that follow from doc_id.
-    Texts without a label are left out by a filter before they are shuffled."""
+    Texts without a label are left out by a filter before they are shuffled;
+    labels and texts meet in their block, so texts are shuffled once."""
     blocks = max(1, -(-n // BLOCK))
     bloom, cells = repeated_filter(each.select(F.col("doc_id").cast("string").alias("key")), "key", n, least=1)
     texts = mark_candidates(_texts(docs).withColumn("key", F.col("doc_id").cast("string")), "key", bloom, cells).filter("__maybe")
     block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")
-    rows = (texts.select("doc_id", "text").join(each, "doc_id").withColumn("block", block)
-            .repartition(min(blocks, TASKS), "block").groupBy("block", "doc_id", "quality").agg(F.min("text").alias("text"))
-            .sortWithinPartitions("block", "doc_id")
-            .select("block", F.col("quality").cast("int").alias("y"), _apart(F.col("doc_id")).alias("apart"), "text"))
+    of_text = texts.select("doc_id", F.lit(None).cast("int").alias("quality"), "text")
+    of_label = each.select(F.col("doc_id").try_cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.col("quality").cast("int").alias("quality"),
+                           F.lit(None).cast("string").alias("text"))
+    rows = (of_text.unionByName(of_label).withColumn("block", block)
+            .repartition(min(blocks, TASKS), "block").groupBy("block", "doc_id").agg(F.max("quality").alias("y"), F.min("text").alias("text"))
+            .filter("y IS NOT NULL AND text IS NOT NULL").sortWithinPartitions("block", "doc_id")
+            .select("block", "y", _apart(F.col("doc_id")).alias("apart"), "text"))
 
     def run(batches):
         block, held = None, []

@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 
 import numpy as np
@@ -141,6 +142,23 @@ def test_blocks_hold_every_training_document_once(spark):
     assert np.allclose(blocks.centre, x.mean(axis=0)) and np.allclose(blocks.scale, x.std(axis=0) + 0.01)
 
 
+def test_labelled_texts_are_shuffled_once(spark, monkeypatch):
+    """However many labels there are: no broadcast of them may be needed."""
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(300)] + [(None, "no id")], "doc_id long, text string")
+    each = docs.filter("doc_id % 3 > 0").selectExpr("doc_id", "CAST(doc_id % 2 AS INT) AS quality")
+    staged, stage = {}, Q.stage
+    monkeypatch.setattr(Q, "stage", lambda df, label, *more: staged.setdefault(label, df) and stage(df, label, *more))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        table = Q.blocks_of(docs, each, 200)
+        plan = staged["vectors"]._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    moved = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", plan)
+    assert sum("text#" in columns for columns in moved) == 1
+    assert sum(len(r.y) for r in table.collect()) == 200
+
+
 def test_descent_reaches_the_least_loss():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(60, 3))
