@@ -10,18 +10,20 @@ the pages share are deleted as template.
 
 Differencing alone cannot give right results where an article quotes a passage
 that other articles hold too, or where menus, adverts and footers differ from
-page to page.  So the markup has a say as well: blocks of navigation, headers,
-footers, sidebars, notices, adverts, forms, comments and the like go whether
-shared or not; where a page names its article (article, main, role, usual
-classes), only the blocks inside can be the text, and of those a shared line
-goes only if it consists mostly of links.
+page to page.  So a check by markup follows on every page: of the shared lines
+those inside the article that the page names (article, main, role, usual
+classes) are put back unless they consist mostly of links; of the others, blocks
+of navigation, headers, footers, sidebars, notices, adverts, forms, comments
+and the like go, and where a page names its article, all blocks outside it.
+The result says how many blocks were shared and how many of them were put back.
 
 No host is gathered: rows of (host, path, id, hash of the lines) are dealt by
 ranges, so a host with a third of all pages spreads over many tasks; what lies
 beyond either end of a range is carried over from the ranges around it, so the
-result does not depend on the number of ranges.  A page in which no block
-depends on sharing is settled when it is parsed and never shuffled; for the
-others the lines of their partners travel to them as 64-bit hashes.
+result does not depend on the number of ranges.  Lines travel to the pages they
+are compared with as 64-bit hashes.  Texts are never written aside: pages are
+parsed once for the hashes of their lines and once more for their texts, which
+meet what was decided by a digest of the row.
 
 Defined results: null or empty html gives the empty text; a null url is a host
 of its own without a path; equal urls order by page_id; character references
@@ -35,6 +37,7 @@ import hashlib
 import html
 import re
 from collections import Counter
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -43,9 +46,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import lookup_join, slices, stage
+from .common import hot_keys, lookup_join, slices, stage
 
 LINK_SHARE = 0.5
+OUT, BACK, OPEN = range(3)   # marks of blocks: out by markup, stays though shared, goes if shared
+SALTS = 64                   # parts of a row that a large share of all rows repeats
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -281,14 +286,28 @@ class Page:
         """The main text, given the pages in reach, nearest place first."""
         same_host = sorted((p for p in neighbours if p.host == self.host), key=lambda p: -self.nearness(p))
         partner = next((p for p in same_host if not self.is_copy(p)), None)
-        shared = set(common_lines(self.lines, partner.lines)) if partner else set()
-        return "\n\n".join(b for i, b, gone in self.candidates() if not (gone and i in shared))
+        gone, _, _ = checked(common_lines(self.lines, partner.lines) if partner else [], self.marks())
+        return "\n\n".join(b for i, b in enumerate(self.marked()) if i not in gone)
 
-    def candidates(self) -> list[tuple[int, str, bool]]:
-        """(place, text, goes if shared) of the blocks that the markup lets stand."""
+    def marks(self) -> list[int]:
+        """What the markup says of each block: out, put back if shared, or nothing."""
         named = any(b.article and not b.aside for b in self.blocks)
-        return [(i, b.text, not named or b.links >= LINK_SHARE * len(b.text)) for i, b in enumerate(self.blocks)
-                if not (b.aside or named and not b.article)]
+        return [OUT if b.aside or named and not b.article else OPEN if not named or b.links >= LINK_SHARE * len(b.text) else BACK
+                for b in self.blocks]
+
+    def marked(self) -> list[str]:
+        """The blocks that the markup lets stand."""
+        return [b.text for b, m in zip(self.blocks, self.marks()) if m != OUT]
+
+
+def checked(shared: list[int], marks) -> tuple[set[int], int, int]:
+    """The check by markup of the lines that differencing deletes: those that
+    go, as places among the blocks that the markup lets stand, how many were
+    shared and how many of them are put back."""
+    m = np.frombuffer(bytes(marks), np.uint8)
+    rank = np.cumsum(m != OUT) - 1
+    at = np.array(shared, np.int64)
+    return set(rank[at[m[at] == OPEN]].tolist()), len(at), int((m[at] == BACK).sum())
 
 
 def nearness(a: list[str], b: list[str]) -> int:
@@ -327,8 +346,8 @@ class Trail:
 
 
 def partners(keys: DataFrame) -> DataFrame:
-    """(rid, partner) of the pages that ask among ``keys(rid, host, steps,
-    page_id, url, hash, asks)``; every page can be a partner."""
+    """(rid, partner) of the pages among ``keys(rid, host, steps, page_id, url,
+    hash)`` that have a partner."""
     def place(batches):
         part, seq = TaskContext.get().partitionId(), 0
         for b in batches:
@@ -337,8 +356,8 @@ def partners(keys: DataFrame) -> DataFrame:
                                              ["part", "seq", *b.schema.names])
             seq += n
     order = ["host", "steps", "page_id", "url", "hash", "rid"]
-    keys = (keys.repartitionByRange(*order).sortWithinPartitions(*order).select("rid", "host", "steps", "hash", "asks")
-            .mapInArrow(place, "part int, seq bigint, rid bigint, host string, steps array<string>, hash bigint, asks boolean"))
+    keys = (keys.repartitionByRange(*order).sortWithinPartitions(*order).select("rid", "host", "steps", "hash")
+            .mapInArrow(place, "part int, seq bigint, rid bigint, host string, steps array<string>, hash bigint"))
     keys = stage(keys, "keys")
     row = F.struct("seq", "rid", "host", "steps", "hash")
     ends = keys.groupBy("part").agg(F.min(row).alias("first"), F.max(row).alias("last"))
@@ -365,7 +384,7 @@ def partners(keys: DataFrame) -> DataFrame:
             back, ids, found = trail.other(run[0]), [], []
             for page in run:
                 sides = [p for p in (back, following) if p is not None]
-                if sides and page["asks"]:
+                if sides:
                     ids.append(page["rid"])
                     found.append(max(sides, key=lambda p: nearness(page["steps"], p["steps"]))["rid"])
             return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.int64())], ["rid", "partner"])
@@ -386,67 +405,97 @@ def partners(keys: DataFrame) -> DataFrame:
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars per row of ``pages(page_id, url, html)``."""
+    """page_id, url, text, n_chars, n_blocks, n_shared, n_restored per row of
+    ``pages(page_id, url, html)``: blocks of the page, those that differencing
+    deletes, and those of them that the markup puts back."""
     url = F.coalesce(F.col("url"), F.lit(""))
     rows = pages.select("page_id", "url", "html",
                         F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1)).alias("host"),
                         F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)", 1).alias("path"))
     kind = pages.schema["page_id"].dataType
 
-    def parse(batches):
+    def parsed(batch):
+        for page_id, url, source, host, path in zip(*(c.to_pylist() for c in batch.columns)):
+            yield _digest(page_id, url, source), Page(page_id, url, host, path, source or "")
+
+    def hashes(batches):
         rid = TaskContext.get().partitionId() << 36
         for b in slices(batches, "html"):
             out = []
-            for page_id, url, source, host, path in zip(*(c.to_pylist() for c in b.columns)):
-                page = Page(page_id, url, host, path, source or "")
+            for key, page in parsed(b):
                 own = page.own_lines()
-                kept = page.candidates()
-                asks = any(x[2] for x in kept)
-                text = None if asks else "\n\n".join(x[1] for x in kept)
-                out.append((rid, page.steps, _hash("\n".join(own)) if own else None, [_hash(x) for x in page.lines], text,
-                            *([x[k] for x in kept] if asks else None for k in range(3))))
+                if own:
+                    out.append((rid, key, page.host, page.steps, page.page_id, page.url, _hash("\n".join(own)),
+                                [_hash(x) for x in page.lines], bytes(page.marks())))
                 rid += 1
-            kinds = (pa.int64(), pa.list_(pa.string()), pa.int64(), pa.list_(pa.int64()), pa.string(), pa.list_(pa.int32()),
-                     pa.list_(pa.string()), pa.list_(pa.bool_()))
-            new = [pa.array(c, t) for c, t in zip(zip(*out), kinds)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), *new], NAMES)
-
-    parsed = stage(rows.mapInArrow(
-        parse, f"page_id {kind.simpleString()}, url string, host string, rid bigint, steps array<string>, hash bigint, "
-               "lines array<bigint>, text string, places array<int>, texts array<string>, gone array<boolean>"), "parsed")
-    asks = F.col("text").isNull()
-    settled = parsed.filter(~asks).select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
-    pairs = stage(partners(parsed.filter("hash is not null")
-                           .select("rid", "host", "steps", "page_id", "url", "hash", asks.alias("asks"))), "pairs")
-    lines = parsed.filter("hash is not null").select(F.col("rid").alias("partner"), F.col("lines").alias("theirs"))
-    theirs = lookup_join(pairs, lines, "partner").select("rid", "theirs")
-    both = (parsed.filter(asks).select("rid", "page_id", "url", "lines", "places", "texts", "gone").join(theirs, "rid", "left")
-            .select("page_id", "url", "lines", "places", "texts", "gone", "theirs"))
+            yield _columns(out, hashed_fields)
 
-    def finish(batches):
+    schema = f"rid bigint, key binary, host string, steps array<string>, page_id {kind.simpleString()}, url string, hash bigint, lines array<bigint>, marks binary"
+    hashed_fields = _fields(pages.sparkSession, schema)
+    hashed = stage(rows.mapInArrow(hashes, schema), "hashed")
+    pairs = stage(partners(hashed.select("rid", "host", "steps", "page_id", "url", "hash")), "pairs")
+    theirs = lookup_join(pairs, hashed.select(F.col("rid").alias("partner"), F.col("lines").alias("theirs")), "partner").select("rid", "theirs")
+
+    def difference(batches):
         for b in batches:
-            out, size = [], 0
-            for i in range(b.num_rows):
-                page_id, url, lines, places, texts, gone, theirs = (c[i].as_py() for c in b.columns)
-                shared = set(common_lines(lines, theirs)) if theirs else ()
-                text = "\n\n".join(t for at, t, g in zip(places, texts, gone) if not (g and at in shared))
-                out.append((page_id, url, text))
-                size += len(text)
-                if size > 4 << 20:
-                    yield _batch(out, kind)
-                    out, size = [], 0
-            if out:
-                yield _batch(out, kind)
-
-    return settled.unionByName(both.mapInArrow(
-        finish, f"page_id {kind.simpleString()}, url string, text string, n_chars bigint"))
-
-
-NAMES = ["page_id", "url", "host", "rid", "steps", "hash", "lines", "text", "places", "texts", "gone"]
-
-
-def _batch(rows, kind):
-    ids, urls, texts = zip(*rows)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(ids, to_arrow_type(kind)), pa.array(urls, pa.string()), pa.array(texts, pa.string()),
-         pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+            out = []
+            for key, lines, marks, theirs in zip(*(c.to_pylist() for c in b.columns)):
+                gone, n, back = checked(common_lines(lines, theirs), marks)
+                out.append((key, sorted(gone), n, back))
+            yield _columns(out, decided_fields)
+
+    decided = "key binary, gone array<int>, n_shared bigint, n_restored bigint"
+    decided_fields = _fields(pages.sparkSession, decided)
+    found = (hashed.select("rid", "key", "lines", "marks").join(theirs, "rid").select("key", "lines", "marks", "theirs")
+             .mapInArrow(difference, decided))
+    # equal rows have one partner and one outcome; one that many rows repeat is dealt over its parts
+    hot = stage(hot_keys(hashed.select("key"), "key").select("key"), "hot").withColumn("hot", F.lit(True))
+    parts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    found = (found.groupBy("key").agg(*(F.first(c).alias(c) for c in ("gone", "n_shared", "n_restored")))
+             .join(F.broadcast(hot), "key", "left").withColumn("salt", F.explode(parts)).drop("hot"))
+
+    def read(batches):
+        for b in slices(batches, "html"):
+            out = []
+            for key, page in parsed(b):
+                kept = page.marked()
+                whole = "".join(kept).encode("utf-8", "surrogatepass")
+                out.append((key, page.page_id, page.url, len(page.blocks), [len(x) for x in kept], len(whole),
+                            pa.compress(whole, codec="zstd", asbytes=True)))
+            yield _columns(out, read_fields)
+
+    texts = f"key binary, page_id {kind.simpleString()}, url string, n_blocks bigint, sizes array<int>, n_bytes bigint, packed binary"
+    read_fields = _fields(pages.sparkSession, texts)
+    salt = F.when(F.col("hot"), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
+    both = (rows.mapInArrow(read, texts).join(F.broadcast(hot), "key", "left").withColumn("salt", salt).drop("hot")
+            .join(found.hint("merge"), ["key", "salt"], "left")
+            .select("page_id", "url", "n_blocks", "sizes", "n_bytes", "packed", "gone", "n_shared", "n_restored"))
+
+    def finish(batches):
+        for batch in batches:
+            for b in slices([batch], "packed"):
+                out = []
+                for page_id, url, n_blocks, sizes, n_bytes, packed, gone, shared, back in zip(*(c.to_pylist() for c in b.columns)):
+                    whole = pa.decompress(packed, n_bytes, codec="zstd", asbytes=True).decode("utf-8", "surrogatepass")
+                    gone, ends = set(gone or ()), list(accumulate(sizes, initial=0))
+                    text = "\n\n".join(whole[x:y] for i, (x, y) in enumerate(zip(ends, ends[1:])) if i not in gone)
+                    out.append((page_id, url, text, len(text), n_blocks, shared or 0, back or 0))
+                yield _columns(out, result_fields)
+
+    result = f"page_id {kind.simpleString()}, url string, text string, n_chars bigint, n_blocks bigint, n_shared bigint, n_restored bigint"
+    result_fields = _fields(pages.sparkSession, result)
+    return both.mapInArrow(finish, result)
+
+
+def _digest(page_id, url, source) -> bytes:
+    """Of a whole row: equal rows have equal digests."""
+    return hashlib.blake2b(repr((page_id, url, source)).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
+def _fields(spark, schema: str) -> list[tuple[str, pa.DataType]]:
+    return [(f.name, to_arrow_type(f.dataType)) for f in spark.createDataFrame([], schema).schema]
+
+
+def _columns(rows: list[tuple], fields) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields)], [n for n, _ in fields])

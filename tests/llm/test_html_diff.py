@@ -145,3 +145,25 @@ def test_pages_equal_the_pairing_of_every_page_with_every_other(spark):
     df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(5)
     assert {r.page_id: r.text for r in H.extract(df).collect()} == want
     assert sum(want[p.page_id] != p.text([]) for p in parsed) > 20       # sharing decides
+
+
+def test_differencing_runs_on_pages_that_name_an_article(spark):
+    """Shared lines are found on every page; the markup then puts back the quoted passage only."""
+    page = ("<body><div class='menu'>Menu line</div><article><p>Quoted passage.</p><p>Own words {0}.</p>"
+            "<p><a href=1>Read more</a></p></article><footer>Foot {0}</footer>")
+    rows = [(i, f"https://h.example/n/{i}", page.format(i)) for i in range(6)] * 2 + [(9, "https://alone.example/", page.format(9))]
+    got = H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == 13
+    for r in got:
+        if r.page_id == 9:                           # no page to compare with
+            assert (r.n_blocks, r.n_shared, r.n_restored) == (5, 0, 0) and r.text.endswith("Read more")
+        else:                                        # menu, passage and link are shared
+            assert (r.n_blocks, r.n_shared, r.n_restored) == (5, 3, 1) and r.text == f"Quoted passage.\n\nOwn words {r.page_id}."
+
+
+def test_equal_rows_in_parts(spark):
+    """A row that most rows repeat is dealt over parts and keeps its outcome."""
+    page = "<body><div>Menu line</div><p>Story {0}.</p><div>Foot line</div>"
+    rows = [(1, "https://h.example/1", page.format(1))] * 500 + [(i, f"https://h.example/{i}", page.format(i)) for i in range(2, 2100)]
+    got = [(r.page_id, r.text) for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()]
+    assert sorted(got) == [(1, "Story 1.")] * 500 + [(i, f"Story {i}.") for i in range(2, 2100)]
