@@ -35,7 +35,7 @@ def unit_offsets(df: DataFrame, key: list[str], unit: str, width: int = DEFAULT_
     buckets = buckets.withColumn("_boff", F.coalesce(F.sum("_bn").over(wb), F.lit(0)))
     wu = Window.partitionBy(*key, "_bucket").orderBy(unit).rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("_uoff", F.coalesce(F.sum("n").over(wu), F.lit(0)))
-    return (counts.join(buckets.select(*key, "_bucket", "_boff"), [*key, "_bucket"])
+    return (counts.join(buckets.select(*key, "_bucket", "_boff").hint("merge"), [*key, "_bucket"])
             .select(*key, unit, "n", (F.col("_boff") + F.col("_uoff")).alias("offset")))
 
 
@@ -44,12 +44,16 @@ def positions(df: DataFrame, key: list[str], unit: str, within: list[str],
     """Adds ``name`` = 1-based position of each row among the rows of its key,
     ordered by ``(unit, *within)``; equals ``row_number()`` over that order.
 
+    Both joins are sort-merge joins on keys that their inputs are dealt by
+    already: there are up to as many units as rows, and the estimates of a
+    checkpoint's size are no reason to broadcast them.
+
     The input is read twice, for the unit counts (two narrow columns, combined
     before the shuffle) and for the rows: an expensive input (page extraction)
     should be materialized first."""
     offs = unit_offsets(df, key, unit, width)
     w = Window.partitionBy(*key, unit).orderBy(*(within or [unit]))
     local = df.withColumn("_local", F.row_number().over(w))
-    return (local.join(offs.select(*key, unit, "offset"), [*key, unit])
+    return (local.join(offs.select(*key, unit, "offset").hint("merge"), [*key, unit])
             .withColumn(name, (F.col("offset") + F.col("_local")).cast("bigint"))
             .drop("offset", "_local"))

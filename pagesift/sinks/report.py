@@ -150,12 +150,18 @@ def write_report(content: DataFrame, failures: DataFrame, path: str, fmt: str, r
     return path
 
 
+PART_BYTES = 1 << 40      # more than a part file has
+
+
 def report_lines(spark, path: str) -> DataFrame:
-    """``(line_no, line)`` of a written report, its parts joined by name."""
-    parts = spark.read.option("wholetext", True).text(path).select(
-        F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("bigint").alias("part"),
-        F.posexplode(F.split(F.regexp_replace("value", "\n\\z", ""), "\n")).alias("pos", "line"))
-    return positions(parts.withColumn("_run", F.lit(1)), ["_run"], "part", ["pos"], "line_no").select("line_no", "line")
+    """``(line_no, line)`` of a written report, its parts joined by name.  A
+    part is read in the splits of the scan, never whole: lines follow each other
+    as they are read in a split, splits by where they start."""
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        (F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("bigint") * PART_BYTES
+         + F.col("_metadata.file_block_start")).alias("split"),
+        F.monotonically_increasing_id().alias("pos"), F.col("value").alias("line"))
+    return positions(lines.withColumn("_run", F.lit(1)), ["_run"], "split", ["pos"], "line_no").select("line_no", "line")
 
 
 # -- runs as partitions -------------------------------------------------------------------

@@ -63,6 +63,26 @@ def test_txt_report_line_by_line(spark, results, tmp_path):
     assert [r.line for r in lines] == text[:-1].split("\n") and [r.line_no for r in lines] == list(range(1, len(lines) + 1))
 
 
+def test_numbering_a_report_broadcasts_no_table_of_units_and_reads_no_part_whole(spark, tmp_path):
+    from pagesift.operators.ranking import positions
+    from pagesift.session import materialize
+    units = materialize(spark.range(500).selectExpr("id AS page_id", "1 AS _run"))
+    plan = positions(units, ["_run"], "page_id", [], "n")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and plan.count("SortMergeJoin") == 2
+    path, want = str(tmp_path / "parts"), [f"line {i}\r \x85\u2028" if i % 7 else "" for i in range(300)]
+    os.mkdir(path)
+    for k in range(3):
+        with open(f"{path}/part-0000{k}-x.txt", "w", encoding="utf-8", newline="") as f:
+            f.writelines(x + "\n" for x in want[100 * k:100 * k + 100])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    try:
+        lines = report_lines(spark, path)
+        assert "Generate" not in lines._jdf.queryExecution().executedPlan().toString()
+        assert [(r.line_no, r.line) for r in lines.orderBy("line_no").collect()] == list(enumerate(want, 1))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_html_report_sections(spark, results, tmp_path):
     text = joined(write_report(*results, str(tmp_path / "h"), "html", RUN, execution_time=1.26, max_retries=3, date_filter="2025-12"))
     order = ['class="header"', 'class="summary"', 'class="search-box"', "=First", "Second", "Third &lt;b&gt;", 'class="metadata"',
