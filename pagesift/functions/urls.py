@@ -1,4 +1,5 @@
-"""URL resolution and screening as Column expressions (no Python per row).
+"""URL resolution and screening as Column expressions; ``join_url`` and
+``announces`` are the same rules for one link, for workers that read pages.
 
 ``resolve_url`` follows the RFC 3986 resolution of the standard library's
 ``urllib.parse.urljoin`` (Python 3.13): scheme and netloc split by regex,
@@ -10,8 +11,9 @@ NULL for ``javascript:void(0)``.
 from __future__ import annotations
 
 import functools
+import re
 import unicodedata
-from urllib.parse import uses_netloc, uses_params, uses_relative
+from urllib.parse import urljoin, urlparse, uses_netloc, uses_params, uses_relative
 
 from pyspark.sql import Column
 from .sqltext import F
@@ -182,6 +184,35 @@ def resolve_url(href: Column, base: Column | str) -> Column:
     return let(F.struct(href.alias("href"), _lit(base).alias("base")), outer)
 
 
+_PLAIN_PATH_RE, _PLAIN_SITE_RE = re.compile(_PLAIN_PATH[1:-1]), re.compile(_PLAIN_SITE)
+# absolute, with nothing that joining it to a sound base would change
+_PLAIN_URL_RE = re.compile(r"https?://([A-Za-z0-9.\-]+)(/[A-Za-z0-9_\-/.]*)?")
+
+
+@functools.lru_cache(maxsize=1024)
+def _plain_site(base: str) -> str | None:
+    m = _PLAIN_SITE_RE.match(base)
+    return m and m[1]
+
+
+def join_url(base: str | None, href: str | None) -> str | None:
+    """``resolve_url`` of one link."""
+    if not base:
+        return href
+    if not href:
+        return base
+    site = _plain_site(base)
+    if site is not None:
+        if _PLAIN_PATH_RE.fullmatch(href):
+            return site + href
+        if _PLAIN_URL_RE.fullmatch(href):
+            return href
+    try:
+        return urljoin(base, href)
+    except ValueError:
+        return None
+
+
 def resolve_listing_url(href: Column, base: Column | str) -> Column:
     """Listing links keep a literal ``http://``/``https://`` prefix as is."""
     return F.when(href.startswith("http://") | href.startswith("https://"), href) \
@@ -212,6 +243,29 @@ def is_announcement_url(url: Column, domain: str = DEFAULT_DOMAIN) -> Column:
     return F.coalesce(let(split_url(url), test), F.lit(False))
 
 
+_SKIPPED = re.compile("|".join(map(re.escape, SKIP_PATTERNS)))
+
+
+def announces(url: str, domain: str = DEFAULT_DOMAIN) -> bool:
+    """``is_announcement_url`` of one link; a path that holds an accept
+    pattern is longer than 1."""
+    m = _PLAIN_URL_RE.fullmatch(url)
+    if m is not None:
+        host, path = m[1], m[2] or ""
+    else:
+        try:
+            parts = urlparse(url)
+        except ValueError:
+            return False
+        host, path = parts.netloc, parts.path
+    return len(path) > 1 and (not host or domain in host) and not _SKIPPED.search(path.lower())
+
+
+def join_listing_url(base: str | None, href: str) -> str | None:
+    """``resolve_listing_url`` of one link."""
+    return href if href.startswith(("http://", "https://")) else join_url(base, href)
+
+
 def resolvable(href: Column, base: Column) -> Column:
     """Whether ``resolve_listing_url`` has a result, mostly without computing it."""
     return F.when(href.startswith("http://") | href.startswith("https://") | (href.rlike(PLAIN_URL) & base.rlike(PLAIN_URL)), F.lit(True)) \

@@ -1,9 +1,9 @@
 """Announcement pages -> ``content`` rows and ``failures`` rows.
 
-One pass per page: the page is shredded once (``dom``), then every field is a
-Catalyst expression over that column.  Nothing shuffles; a filter on the
-source columns (``url``, ``page_id``) is pushed below the shredding UDF and
-into the parquet scan, so filtered pages are never parsed.
+One pass per page: the page is parsed once and asked for its fields where it
+was parsed (``functions/page.py``); what it says meets given dates, errors and
+the run time as Catalyst expressions.  Nothing shuffles; filters on the source
+columns (``where``) reach the parquet scan, so filtered pages are never parsed.
 
 Errors are data: a page whose title or text cannot be extracted becomes a
 failure row with the message and type the reference reports.
@@ -13,14 +13,12 @@ from __future__ import annotations
 
 from datetime import datetime
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from ..functions.sqltext import F
 
-from ..functions import dom as D
-from ..functions.dates import NTZ, dates_in_text, first_parsable, ntz_lit, parse_date_string
-from ..functions.shred import shred_pages
-from ..functions.text import PY_WS, cut_with_ellipsis, let, py_strip
-from ..functions.urls import resolve_url
+from ..functions import page as P
+from ..functions.dates import NTZ, ntz_lit
 from .dedup import first_rows
 
 # Selectors tried in order for the title, the content area and
@@ -31,7 +29,7 @@ CONTENT_SELECTORS = ["article", ".announcement-content", ".post-content", ".arti
 DATE_SELECTORS = [".publication-date", ".post-date", ".article-date", ".date",
                   "time[datetime]", ".published"]
 LD_DATE_FIELDS = ["datePublished", "dateCreated", "dateModified"]
-BLOCK_TAGS = ["div", "section", "article"]
+MIN_TEXT = 50          # E5: characters that the text must exceed
 
 # Messages and types of failure rows.
 TITLE_ERROR = "Could not extract title from announcement page"
@@ -46,185 +44,33 @@ MISSING_PAGE_TYPE = "PageNotFound"
 DEFAULT_RUN_TS = datetime(2026, 1, 1, 0, 0, 0)
 
 
-# -- fields ---------------------------------------------------------------------
-def extract_title(dom: Column) -> Column:
-    """First selector whose element's stripped text is longer than 5."""
-    arms = []
-    for sel in TITLE_SELECTORS:
-        arms.append(let(D.first_match(dom, sel), lambda n: F.when(D.text_length(dom, n) > 5, D.stripped_text(dom, n))))
-    return F.coalesce(*arms)
-
-
-def largest_block(dom: Column, min_chars: int = 100) -> Column:
-    """The div/section/article with the longest stripped text (earliest
-    wins ties, so an outer block beats an equal inner one), if > min_chars."""
-    cands = F.filter(dom, lambda n: D.is_tag(n, *BLOCK_TAGS))
-    scored = F.transform(cands, lambda c: F.struct(
-        D.text_length(dom, c).alias("len"), (-c["pos"]).alias("neg")))
-    return let(F.array_max(scored),
-               lambda best: F.when(best["len"] > min_chars, D.node_at(dom, -best["neg"])))
-
-
-def content_area(dom: Column, use_selectors: bool = True) -> Column:
-    """First hit of the content selectors, else the largest text block."""
-    arms = [D.first_match(dom, s) for s in CONTENT_SELECTORS] if use_selectors else []
-    return F.coalesce(*arms, largest_block(dom))
-
-
-_NEWLINE_TAGS = ["p", "div", "br"]
-_HEADING_TAGS = ["h1", "h2", "h3", "h4", "h5", "h6"]
-
-
-def formatted_text(dom: Column, n: Column) -> Column:
-    """Walk the descendants without script/style; p/div/br start a line,
-    headings a paragraph; every string node, comments included, is kept;
-    3+ line breaks become 2, blank runs one blank; stripped."""
-    def piece(m):
-        return (F.when(D.is_tag(m, *_NEWLINE_TAGS), F.lit("\n"))
-                .when(D.is_tag(m, *_HEADING_TAGS), F.lit("\n\n"))
-                .when(m["kind"].isin("t", "c", "x", "d"), m["text"])
-                .otherwise(F.lit("")))
-    text = F.array_join(F.transform(D.descendants(dom, n), piece), "")
-    text = F.regexp_replace(text, "\n" + PY_WS + "*\n" + PY_WS + "*\n+", "\n\n")
-    text = F.regexp_replace(text, "[ \t]+", " ")
-    return py_strip(text)
-
-
-def content_text(dom: Column, area: Column, min_chars: int = 50) -> Column:
-    """E5: the formatted text of the area, if longer than ``min_chars``."""
-    return let(formatted_text(dom, area), lambda t: F.when(F.length(t) > min_chars, t))
-
-
-def link_context(dom: Column, a: Column) -> Column:
-    """The parent's stripped text, cut at 200 with an ellipsis."""
-    return cut_with_ellipsis(D.stripped_text(dom, D.node_at(dom, a["parent"]), 201), 200)
-
-
-def embedded_links(dom: Column, scope: Column, base_url: Column) -> Column:
-    """``a[href]`` under ``scope``; empty and ``#...`` hrefs skipped,
-    resolved against the page URL (a malformed host drops the link), text
-    falls back to the href; not deduplicated, no host test."""
-    anchors = F.filter(D.descendants(dom, scope), lambda n: D.is_tag(n, "a") & D.has_attr(n, "href"))
-    anchors = F.filter(anchors, lambda n: (py_strip(D.attr(n, "href")) != "")
-                       & ~py_strip(D.attr(n, "href")).startswith("#"))
-
-    def to_link(a):
-        return let(F.struct(py_strip(D.attr(a, "href")).alias("href"),
-                            D.stripped_text(dom, a).alias("text")),
-                   lambda x: F.struct(
-                       F.when(x["text"] != "", x["text"]).otherwise(x["href"]).alias("text"),
-                       resolve_url(x["href"], base_url).alias("url"),
-                       link_context(dom, a).alias("context")))
-    return F.filter(F.transform(anchors, to_link), lambda x: x["url"].isNotNull())
-
-
-# -- publication date (E7-E11) --------------------------------------------------
-def _py_type(t: Column) -> Column:
-    """Python type name of a JSON value from its variant schema."""
-    return (F.when(t == "STRING", "str").when(t == "BOOLEAN", "bool")
-            .when(t.startswith("DECIMAL") | t.isin("DOUBLE", "FLOAT"), "float")
-            .when(t.isin("BIGINT", "INT", "SMALLINT", "TINYINT"), "int")
-            .when(t.startswith("ARRAY"), "list").when(t.startswith("OBJECT"), "dict")
-            .otherwise("NoneType"))
-
-
-def _truthy(v: Column, pytype: Column) -> Column:
-    s = F.try_variant_get(v, "$", "string")
-    return (F.when(pytype == "str", s != "")
-            .when(pytype == "bool", s == "true")
-            .when(pytype.isin("int", "float"), F.try_variant_get(v, "$", "double") != 0)
-            .when(pytype.isin("list", "dict"), F.try_variant_get(v, "$", "string") != F.when(pytype == "list", "[]").otherwise("{}"))
-            .otherwise(F.lit(False)))
-
-
-def jsonld_date() -> Column:
-    """JSON-LD scripts in order; fields in order; first parsable date.
-
-    Returns ``struct(date, error)``: a script without text, or a non-string
-    date value, raises in the reference and fails the page (quirk Q10).  Of
-    repeated keys the last counts, and ``NaN`` is a number."""
-    return F.get(F.filter(F.transform(F.col("ld_json"), lambda s: let(
-        F.struct(s.alias("s"), F.try_parse_json(s).alias("v")), lambda x: _ld_outcome(x["s"], x["v"]))),
-        lambda r: r.isNotNull()), 0)
-
-
-def _ld_outcome(string: Column, v: Column) -> Column:
-    """Outcome of one JSON-LD script: struct(date, error) or NULL to go on."""
-    none = F.lit(None).cast("struct<date:timestamp_ntz,error:string>")
-
-    def err(msg):
-        return F.struct(F.lit(None).cast(NTZ).alias("date"), msg.alias("error"))
-    top = _py_type(F.schema_of_variant(v))
-
-    def of_field(fv):
-        ftype = _py_type(F.schema_of_variant(fv))
-        live = fv.isNotNull() & F.coalesce(_truthy(fv, ftype), F.lit(False))
-        return F.struct(live.alias("live"), ftype.alias("type"), F.try_variant_get(fv, "$", "string").alias("s"))
-
-    def settle(x):
-        """A live field that is no string fails; a string counts if it parses."""
-        return let(parse_date_string(x["s"]), lambda d: (
-            F.when(x["live"] & (x["type"] != "str"), err(F.concat(F.lit("'"), x["type"], F.lit("' object has no attribute 'strip'"))))
-            .when(x["live"] & d.isNotNull(), F.struct(d.alias("date"), F.lit(None).cast("string").alias("error")))
-            .otherwise(none)))
-    values = F.array(*[let(F.try_variant_get(v, "$." + f, "variant"), of_field) for f in LD_DATE_FIELDS])
-    outcome = F.get(F.filter(F.transform(values, settle), lambda r: r.isNotNull()), 0)
-    fields = F.array(*[F.lit(f) for f in LD_DATE_FIELDS])
-    list_has_field = F.exists(fields, lambda f: F.array_contains(
-        F.try_variant_get(v, "$", "array<string>"), f))
-    str_has_field = F.exists(fields, lambda f: F.try_variant_get(v, "$", "string").contains(f))
-    return (F.when(string.isNull(), err(F.lit("the JSON object must be str, bytes or bytearray, not NoneType")))
-            .when(v.isNull(), none)
-            .when(top == "dict", outcome)
-            .when(top == "list", F.when(F.coalesce(list_has_field, F.lit(False)),
-                                        err(F.lit("list indices must be integers or slices, not str"))))
-            .when(top == "str", F.when(F.coalesce(str_has_field, F.lit(False)),
-                                       err(F.lit("string indices must be integers, not 'str'"))))
-            .otherwise(err(F.concat(F.lit("argument of type '"), top, F.lit("' is not iterable")))))
-
-
-def time_element_date(dom: Column) -> Column:
-    """First ``time[datetime]`` whose attribute parses."""
-    times = D.all_matches(dom, "time[datetime]")
-    return first_parsable(F.transform(times, lambda n: D.attr(n, "datetime")))
-
-
-def selector_date(dom: Column) -> Column:
-    """The first element of each date selector: its ``datetime``
-    attribute, else its stripped text."""
-    strings = F.flatten(F.array(*[let(D.first_match(dom, sel), lambda el: F.array(
-        D.attr(el, "datetime"), D.stripped_text(dom, el))) for sel in DATE_SELECTORS]))
-    return first_parsable(strings)
-
-
-def text_date(dom: Column, month_names: bool = False) -> Column:
-    """Dates in the whole document text."""
-    return dates_in_text(D.raw_text(dom, D.document(dom)), month_names)
-
-
 # -- page driver (E1, E16) --------------------------------------------------------
 FIELDS = ["title", "content_text", "embedded_links", "own_date", "ld_error", "parse_error"]
 
+# What the worker reads off a page, as Spark and Arrow name it.
+READ_FIELDS = {"titles": ("map<string,string>", pa.map_(pa.string(), pa.string())), "content_text": ("string", pa.string()),
+               "embedded_links": P.LINKS, "own_date": (NTZ, pa.timestamp("us")), "ld_error": ("string", pa.string())}
+
 
 def page_fields(pages: DataFrame, link_scope: str = "area", use_selectors: bool = True,
                 month_names: bool = False) -> DataFrame:
     """``pages(url, html, ...)`` -> ``FIELDS`` beside the other columns: what a
     page says by itself, before a given date or the run time come in."""
     keep = [c for c in pages.columns if c != "html"]
-    dom = F.col("dom")
-    stage1 = shred_pages(pages.select(*keep, "html")).select(
-        *keep, "dom", "texts", "first", "parse_error",
-        extract_title(dom).alias("title"),
-        content_area(dom, use_selectors).alias("_area"),
-        jsonld_date().alias("_ld"))
-    area = F.col("_area")
-    scope = area if link_scope == "area" else D.document(dom)
-    return stage1.select(
-        *keep, "title", content_text(dom, area).alias("content_text"),
-        F.when(area.isNotNull(), embedded_links(dom, scope, F.col("url"))).alias("embedded_links"),
-        F.coalesce(F.col("_ld.date"), time_element_date(dom), selector_date(dom),
-                   text_date(dom, month_names)).alias("own_date"),
-        F.col("_ld.error").alias("ld_error"), "parse_error")
+
+    def ask(page: P.Page, url: str | None) -> tuple:
+        area = P.content_area(page, CONTENT_SELECTORS if use_selectors else [])
+        text = None if area is None else P.formatted_text(page, area)
+        date, error = P.jsonld_date(page, LD_DATE_FIELDS)
+        return (P.title_texts(page, TITLE_SELECTORS), text if text and len(text) > MIN_TEXT else None,
+                None if area is None else P.embedded_links(page, area if link_scope == "area" else 0, url),
+                date or P.time_element_date(page) or P.selector_date(page, DATE_SELECTORS) or P.text_date(page, month_names), error)
+    return P.ask_pages(pages.select(*keep, "html"), ask, READ_FIELDS).select(*keep, _title().alias("title"), *FIELDS[1:])
+
+
+def _title() -> Column:
+    """The selectors in order; ``titles`` holds what they found."""
+    return F.coalesce(*[F.try_element_at(F.col("titles"), F.lit(s)) for s in TITLE_SELECTORS])
 
 
 def _outcome(fields: DataFrame, keep: list[str], given: Column, run: Column,

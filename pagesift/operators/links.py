@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from ..functions.sqltext import F
 
-from ..functions import dom as D
-from ..functions.shred import shred_pages
+from ..functions import page as P
 from ..functions.urls import DEFAULT_DOMAIN, is_announcement_url
-from .content import content_area, embedded_links
+from .content import CONTENT_SELECTORS
 
 
 def page_links(pages: DataFrame, scope: str = "document") -> DataFrame:
@@ -17,11 +16,10 @@ def page_links(pages: DataFrame, scope: str = "document") -> DataFrame:
 
     ``scope='document'`` takes every ``a[href]`` of the page (quirk Q11);
     ``scope='area'`` only those of the content area, as E13 does."""
-    shredded = shred_pages(pages.select("page_id", F.col("url").alias("page_url"), "html"))
-    dom = F.col("dom")
-    where = D.document(dom) if scope == "document" else content_area(dom)
-    links = shredded.select("page_id", "page_url",
-                            embedded_links(dom, where, F.col("page_url")).alias("links"))
+    def ask(page: P.Page, url: str | None) -> tuple:
+        where = 0 if scope == "document" else P.content_area(page, CONTENT_SELECTORS)
+        return (None if where is None else P.embedded_links(page, where, url),)
+    links = P.ask_pages(pages.select("page_id", F.col("url").alias("page_url"), "html"), ask, {"links": P.LINKS}, "page_url")
     return links.select("page_id", "page_url", F.posexplode("links").alias("pos0", "link")) \
         .select("page_id", "page_url", (F.col("pos0") + 1).cast("bigint").alias("position"),
                 F.col("link.text").alias("text"), F.col("link.url").alias("url"),
