@@ -51,3 +51,23 @@ def test_nodes_stay_where_the_page_was_parsed(spark):
     for df in (extract_content(pages), page_links(pages), page_links(pages, "area")):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("MapInArrow") == 1 and "lambda" not in plan and "dom#" not in plan
+
+
+# -- dates -----------------------------------------------------------------------------
+DATES = ["2024-01-02", "2024-1-2", "2024-13-02", "2024-02-30", "0000-01-01", "0001-01-01", "01/02/2024", "1-2-2024", "01-02/2024", "March 4, 2022",
+         "Mar 4, 2022", "mARCH 04, 2022", "4 March 2022", "04 sept 2022", "4 Sep 2022", "2024-01-02T03:04:05", "2024-01-02T3:4:5Z",
+         "2024-01-02T03:04:05.123Z", "2024-01-02T03:04:60Z", "2024-01-02T24:04:00Z", "2024-01-02T03:04:05.1234567Z", "2024-01-02T03:04:05.5",
+         "2024-01-02T03:04:05.000001Z", "  March \n 4,\u2003 2022 ", "", " ", None, "May 5, 2020", "5/5/20", "\uff15/5/2020", "12024-01-02", "2024-01-02x"]
+TEXTS = ["on 13/45/2025 then 01/02/2025 and 2024-99-99", "01/02/2025 ... 2024-03-04", "due 12-31-2020.", "12024-01-021", "since December  5 2001",
+         "99-99-9999 12-11-2020", "MAY 5, 2020 and 4 May 2021", "\u0661\u0662/01/2020", "", "no date 24-1-1", "1/2/2024"]
+
+
+def test_dates_are_read_as_the_columns_read_them(spark):
+    from pagesift.functions.dates import date_in_text, dates_in_text, parse_date_string, read_date
+    rows = spark.createDataFrame([(i, s) for i, s in enumerate(DATES + TEXTS)], "i int, s string")
+    got = rows.select("i", parse_date_string(rows.s).alias("whole"), dates_in_text(rows.s).alias("inside"),
+                      dates_in_text(rows.s, True).alias("named")).orderBy("i").collect()
+    for s, r in zip(DATES + TEXTS, got):
+        assert read_date(s) == r.whole, s
+        assert (date_in_text(s or ""), date_in_text(s or "", True)) == (r.inside, r.named), s
+    assert sum(r.whole is not None for r in got) > 12 and sum(r.inside is not None for r in got) > 6
