@@ -71,3 +71,31 @@ def test_dates_are_read_as_the_columns_read_them(spark):
         assert read_date(s) == r.whole, s
         assert (date_in_text(s or ""), date_in_text(s or "", True)) == (r.inside, r.named), s
     assert sum(r.whole is not None for r in got) > 12 and sum(r.inside is not None for r in got) > 6
+
+
+# -- JSON-LD ---------------------------------------------------------------------------
+NO_STRIP, DAY = "'{}' object has no attribute 'strip'", "2020-01-02"
+SCRIPTS = [
+    ('{"datePublished":"2020-01-02"}', DAY, None), ('{"datePublished":"bad","dateCreated":"2020-01-02"}', DAY, None),
+    ('{"datePublished":"1999-01-01","datePublished":"2020-01-02"}', DAY, None), ('{"a":NaN,"dateModified":"2020-01-02"}', DAY, None),
+    ('{"datePublished":0,"dateCreated":false,"dateModified":"2020-01-02"}', DAY, None),
+    ('{"datePublished":null,"dateCreated":[],"dateModified":"2020-01-02"}', DAY, None), ('{"datePublished":5}', None, NO_STRIP.format("int")),
+    ('{"datePublished":1.5}', None, NO_STRIP.format("float")), ('{"datePublished":Infinity}', None, NO_STRIP.format("float")),
+    ('{"datePublished":12345678901234567890}', None, NO_STRIP.format("float")), ('{"datePublished":true}', None, NO_STRIP.format("bool")),
+    ('{"datePublished":["2020"]}', None, NO_STRIP.format("list")), ('{"datePublished":{"a":1}}', None, NO_STRIP.format("dict")),
+    ('["x","datePublished"]', None, "list indices must be integers or slices, not str"), ('["x",1]', None, None),
+    ('"a datePublished"', None, "string indices must be integers, not 'str'"), ('"x"', None, None), ("5", None, "argument of type 'int' is not iterable"),
+    ("null", None, "argument of type 'NoneType' is not iterable"), ("nan", None, None), ("{bad", None, None),
+    ('{"x":1e999,"datePublished":"2020-01-02"}', None, None), ('{"x":' + "[" * 1000 + "]" * 1000 + ',"datePublished":"2020-01-02"}', None, None),
+    ("", None, "the JSON object must be str, bytes or bytearray, not NoneType")]
+
+
+@pytest.mark.parametrize("script,date,error", SCRIPTS)
+def test_jsonld_scripts_are_read_by_the_worker(script, date, error):
+    from datetime import datetime
+
+    from pagesift.functions.page import jsonld_date
+    from pagesift.operators.content import LD_DATE_FIELDS
+    for html in ('<script type="application/ld+json">{}</script><h1>t</h1>', '<!-- c --><script type="application/ld+json">{}</script>'):
+        page = Page(shred_one(html.replace("{}", script, 1))[0])
+        assert jsonld_date(page, LD_DATE_FIELDS) == (date and datetime.fromisoformat(date), error)
