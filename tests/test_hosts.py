@@ -45,3 +45,20 @@ def test_links_with_malformed_hosts_vanish(spark):
     (row,) = extract_content(pages_df(spark, [(1, BASES[0], html)])).collect()
     want = [(f"t{i}", expected(BASES[0], h)) for i, h in enumerate(HREFS) if not h.startswith("#")]
     assert [(x.text, x.url) for x in row.embedded_links] == [(t, u) for t, u in want if u is not None]
+
+
+def test_workers_join_as_the_standard_library_does():
+    from pagesift.functions.urls import join_url
+    more = ["https://x.example/1", "http://a.b", "HTTPS://x.y/z", "https://a.b/x/../y", "https://a.b:80/x", "/a.b", "/p;a/b;c", "mailto:x@y", "tel:1", "http:x", "./", ".."]
+    for base in BASES:
+        for href in HREFS + more:
+            assert join_url(base, href) == expected(base, href), (base, href)
+    assert (join_url(None, "/x"), join_url("", "/x"), join_url("http://h/a", "")) == ("/x", "/x", "http://h/a")
+
+
+def test_links_of_a_run_are_resolved_once_and_in_the_worker(spark):
+    from pagesift.operators.content import split_results
+    from pagesift.operators.render import announcement_struct
+    pages = pages_df(spark, [(1, "https://h/", '<h1>A long title</h1><article><a href="/x">t</a></article>')])
+    plan = split_results(extract_content(pages))[0].select(announcement_struct())._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "regexp_extract" not in plan and "lambda" not in plan
